@@ -23,6 +23,15 @@ def ngrams(tokens: Column, n: int) -> Column:
     return grams
 
 
+def tagged(items: Column, n: int) -> Column:
+    """Elements as structs (n, gram)."""
+    return F.transform(items, lambda i: F.struct(F.lit(n).alias("n"), i.alias("gram")))
+
+
+def tagged_ngrams(tokens: Column, n: int) -> Column:
+    return tagged(ngrams(tokens, n), n)
+
+
 def ngram_count(tokens: Column, n: int) -> Column:
     return F.greatest(F.size(tokens) - (n - 1), F.lit(0))
 
@@ -42,7 +51,7 @@ def clipped_overlap(left: Column, right: Column) -> Column:
     shared element skip the fold.
     """
 
-    def tagged(items: Column, side: int) -> Column:
+    def sided(items: Column, side: int) -> Column:
         return F.transform(
             items, lambda item: F.struct(item.alias("item"), F.lit(side).alias("side"))
         )
@@ -65,7 +74,7 @@ def clipped_overlap(left: Column, right: Column) -> Column:
         F.lit(0).alias("right"),
         F.lit(0).alias("total"),
     )
-    runs = F.sort_array(F.concat(tagged(left, 0), tagged(right, 1)))
+    runs = F.sort_array(F.concat(sided(left, 0), sided(right, 1)))
     folded = F.aggregate(
         runs, start, step, lambda s: s["total"] + F.least(s["left"], s["right"])
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import jaccard, ngrams
+from ..functions.arrays import jaccard, tagged, tagged_ngrams
 from ..functions.text import strip, word_count, words
 from ..functions.vectors import cosine
 
@@ -72,14 +72,10 @@ def corpus_metrics(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     ``count(distinct)`` three times over would multiply the rows instead.
     """
     tokens = F.col("tokens")
-
-    def tagged(n: int, grams: Column) -> Column:
-        return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-
     pieces = F.concat(
-        tagged(0, F.array(strip(F.col("prediction")))),
-        tagged(1, tokens),
-        tagged(2, ngrams(tokens, 2)),
+        tagged(F.array(strip(F.col("prediction"))), 0),
+        tagged_ngrams(tokens, 1),
+        tagged_ngrams(tokens, 2),
     )
     counted = (
         rows.select(*by, "prediction", words(F.col("prediction")).alias("tokens"))
