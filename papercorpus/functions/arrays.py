@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+LOOKUP_PRODUCT = 1 << 14  # length product up to which looking elements up is cheaper
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """The n-grams of ``tokens`` (an attribute, not a costly expression).
+def longer_ngrams(grams: Column, tokens: Column, n: int) -> Column:
+    """The n-grams of ``tokens`` from its (n-1)-grams, by zipping on one more word.
 
-    Built by zipping the array with its own shifts; shorter arrays give none.
     Words hold no space, so a joined n-gram is unambiguous.
     """
+    length = ngram_count(tokens, n)
+    return F.zip_with(
+        F.slice(grams, F.lit(1), length),
+        F.slice(tokens, F.lit(n), length),
+        lambda gram, word: F.concat(gram, F.lit(" "), word),
+    )
+
+
+def ngrams(tokens: Column, n: int) -> Column:
+    """The n-grams of ``tokens`` (an attribute, not a costly expression)."""
     grams = tokens
-    for shift in range(2, n + 1):
-        length = F.greatest(F.size(tokens) - (shift - 1), F.lit(0))
-        grams = F.zip_with(
-            F.slice(grams, F.lit(1), length),
-            F.slice(tokens, F.lit(shift), length),
-            lambda left, word: F.concat(left, F.lit(" "), word),
-        )
+    for size in range(2, n + 1):
+        grams = longer_ngrams(grams, tokens, size)
     return grams
 
 
@@ -46,10 +51,30 @@ def jaccard(left: Column, right: Column) -> Column:
 def clipped_overlap(left: Column, right: Column) -> Column:
     """Sum over distinct elements of the smaller of the two counts.
 
-    Both arrays are tagged, sorted together and folded run by run, so the cost
-    grows with n log n and not with the product of the lengths.  Rows without a
-    shared element skip the fold.
+    Short pairs look each shared element up in both arrays.  That costs the
+    product of the lengths, so longer pairs are sorted and folded instead; both
+    ways give the same number, and rows without a shared element need neither.
     """
+    short = F.size(left).cast("long") * F.size(right) <= LOOKUP_PRODUCT
+    counted = F.when(short, _overlap_by_lookup(left, right)).otherwise(
+        _overlap_by_sorting(left, right)
+    )
+    return F.when(F.arrays_overlap(left, right), counted).otherwise(0)
+
+
+def _overlap_by_lookup(left: Column, right: Column) -> Column:
+    def count(items: Column, item: Column) -> Column:
+        return F.size(items) - F.size(F.array_remove(items, item))
+
+    return F.aggregate(
+        F.array_intersect(left, right),
+        F.lit(0),
+        lambda total, item: total + F.least(count(left, item), count(right, item)),
+    )
+
+
+def _overlap_by_sorting(left: Column, right: Column) -> Column:
+    """Tag both arrays, sort them together and fold run by run."""
 
     def sided(items: Column, side: int) -> Column:
         return F.transform(
@@ -75,10 +100,7 @@ def clipped_overlap(left: Column, right: Column) -> Column:
         F.lit(0).alias("total"),
     )
     runs = F.sort_array(F.concat(sided(left, 0), sided(right, 1)))
-    folded = F.aggregate(
-        runs, start, step, lambda s: s["total"] + F.least(s["left"], s["right"])
-    )
-    return F.when(F.arrays_overlap(left, right), folded).otherwise(0)
+    return F.aggregate(runs, start, step, lambda s: s["total"] + F.least(s["left"], s["right"]))
 
 
 def mask_labels(ids: Column, pad: int, ignored: int = -100) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import clipped_overlap, ngram_count, ngrams
+from ..functions.arrays import clipped_overlap, longer_ngrams, ngrams
 from ..functions.stemming import lcs_length, stem_text
 from ..functions.text import bleu_text, rouge_text, split_words
 from ..functions.vectors import greedy_match
@@ -40,39 +40,37 @@ def rouge_rows(rows: DataFrame, stem: bool = True) -> DataFrame:
     tokens = rows.withColumns(texts).withColumns(
         {
             "_lcs": lcs_length(F.col("_p"), F.col("_r")),
-            "_pw": split_words(F.col("_p")),
-            "_rw": split_words(F.col("_r")),
+            "_p1": split_words(F.col("_p")),
+            "_r1": split_words(F.col("_r")),
         }
-    )
-    p, r = F.col("_pw"), F.col("_rw")
+    ).withColumns({"_p2": ngrams(F.col("_p1"), 2), "_r2": ngrams(F.col("_r1"), 2)})
 
-    def rouge_n(n: int) -> Column:
-        shared = clipped_overlap(ngrams(p, n), ngrams(r, n))
-        return f_measure(shared, ngram_count(p, n), ngram_count(r, n))
+    def scored(shared: Column, n: int) -> Column:
+        return f_measure(shared, F.size(f"_p{n}"), F.size(f"_r{n}"))
 
     return tokens.withColumns(
         {
-            "rouge1": rouge_n(1),
-            "rouge2": rouge_n(2),
-            "rougeL": f_measure(F.col("_lcs"), F.size(p), F.size(r)),
+            "rouge1": scored(clipped_overlap(F.col("_p1"), F.col("_r1")), 1),
+            "rouge2": scored(clipped_overlap(F.col("_p2"), F.col("_r2")), 2),
+            "rougeL": scored(F.col("_lcs"), 1),
         }
-    ).drop("_p", "_r", "_lcs", "_pw", "_rw")
+    ).drop("_p", "_r", "_lcs", "_p1", "_r1", "_p2", "_r2")
 
 
 def bleu_counts(rows: DataFrame) -> DataFrame:
     """Add the clipped matches, the n-gram totals and both lengths of each row."""
-    tokens = rows.withColumns(
-        {
-            "_p": split_words(bleu_text(F.col("prediction"))),
-            "_r": split_words(bleu_text(F.col("reference"))),
-        }
-    )
-    p, r = F.col("_p"), F.col("_r")
-    counts = {"_p_size": F.size(p), "_r_size": F.size(r)}
+    sides = ("prediction", "reference")
+    work = rows.withColumns({f"_{s}1": split_words(bleu_text(F.col(s))) for s in sides})
+    for n in BLEU_ORDERS[1:]:  # each order is made from the one before
+        work = work.withColumns(
+            {f"_{s}{n}": longer_ngrams(F.col(f"_{s}{n - 1}"), F.col(f"_{s}1"), n) for s in sides}
+        )
+    counts = {"_p_size": F.size("_prediction1"), "_r_size": F.size("_reference1")}
     for n in BLEU_ORDERS:
-        counts[f"_match{n}"] = clipped_overlap(ngrams(p, n), ngrams(r, n))
-        counts[f"_total{n}"] = ngram_count(p, n)
-    return tokens.withColumns(counts).drop("_p", "_r")
+        counts[f"_match{n}"] = clipped_overlap(F.col(f"_prediction{n}"), F.col(f"_reference{n}"))
+        counts[f"_total{n}"] = F.size(f"_prediction{n}")
+    grams = [f"_{s}{n}" for s in sides for n in BLEU_ORDERS]
+    return work.withColumns(counts).drop(*grams)
 
 
 def bleu_score() -> Column:

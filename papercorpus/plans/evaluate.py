@@ -13,7 +13,7 @@ from ..operators.quality import quality_scorecard
 from ..operators.reporting import metric_long_table
 from ..operators.sampling import evaluation_cap
 from ..operators.scoring import Predictor, example_block, few_shot_examples, predict_titles
-from ..sources.shared import stored
+from ..sources.shared import spread, stored
 
 
 def predict_splits(
@@ -35,7 +35,7 @@ def predict_splits(
     predictor is by far the most expensive step.
     """
     chosen = papers.filter(F.col("split").isin(list(splits)))
-    chosen = evaluation_cap(chosen, max_rows, seed, F.col(key))
+    chosen = spread(evaluation_cap(chosen, max_rows, seed, F.col(key)))
     block = None
     if num_shots > 0:
         train = papers.filter(F.col("split") == "train")

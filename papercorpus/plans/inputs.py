@@ -13,12 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from ..sources.shared import spread
 
 SITE = "https://example.org"
 
 
+TEXT_TABLES = ("documents", "conversations")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table; the ones with long texts are dealt out to all cores."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
 
 
 def first_line(text: str = "text") -> Column:

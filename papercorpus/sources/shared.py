@@ -13,13 +13,14 @@ SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the session's settings.
 
-    Only where the setting is absent (single-machine tests) a fresh temporary
-    folder is made and remembered for the session.
+    Only where none is named (single-machine tests) a fresh temporary folder is
+    made and becomes the session's checkpoint folder.
     """
-    folder = spark.conf.get(SETTING, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="papercorpus-")
-        spark.conf.set(SETTING, folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="papercorpus-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -37,3 +38,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores; inputs with enough pieces stay as they are.
+
+    A single file with a single row group is one task however much work follows.
+    Only the number of input pieces is looked at, no job runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.text import slug
 from ..operators.canonical import CANONICAL
@@ -18,18 +19,18 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def _csv(df: DataFrame):
-    return df.write.options(header=True, quoteAll=True, escape='"')
+    """Every value quoted and written as it is, blanks at its ends included."""
+    return df.write.options(
+        header=True, quoteAll=True, escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
 
 
 def csv_fields(df: DataFrame) -> DataFrame:
     """The canonical columns with topics as JSON text."""
+    arrays = {f.name for f in df.schema if isinstance(f.dataType, ArrayType)}
     columns = [c for c in CANONICAL if c in df.columns]
-    topics = F.to_json("topics") if "topics" in columns and _is_array(df, "topics") else None
-    return df.select([topics.alias(c) if c == "topics" and topics is not None else c for c in columns])
-
-
-def _is_array(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() == "array"
+    return df.select([F.to_json(c).alias(c) if c in arrays else c for c in columns])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
