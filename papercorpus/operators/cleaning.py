@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from ..sources.shared import stored
 
 UNIT_SEPARATOR = chr(31)
 
@@ -36,20 +37,12 @@ def blank_id() -> Column:
     return F.trim(F.coalesce(F.col("id"), F.lit(""))) == ""
 
 
-def _any_blank(papers: DataFrame) -> bool:
-    return not papers.filter(blank_id()).select(F.lit(1)).limit(1).isEmpty()
-
-
-def ids_filled(papers: DataFrame, source: DataFrame | None = None) -> bool:
+def ids_filled(papers: DataFrame) -> bool:
     """Whether every row has a non-blank id, which opens the dedup by id.
 
-    ``source`` is the table before cleaning: if its id column, read on its own,
-    holds no blank, the texts need not be read.  The search stops at the first
-    blank.
+    Reads the id column of a stored table only, and stops at the first blank.
     """
-    if source is not None and not _any_blank(source):
-        return True
-    return not _any_blank(papers)
+    return papers.filter(blank_id()).select(F.lit(1)).limit(1).isEmpty()
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
@@ -64,15 +57,39 @@ def keep_first(df: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFram
     return df.groupBy(*keys).agg(first).select(*keys, "first.*").select(df.columns)
 
 
+def with_content(papers: DataFrame) -> DataFrame:
+    """Add ``content``, a SHA-256 of title and abstract that stands for both.
+
+    Clean texts hold no unit separator, so the joined text is unambiguous.
+    """
+    joined = F.concat_ws(UNIT_SEPARATOR, "title", "abstract")
+    return papers.withColumn("content", F.sha2(joined, 256))
+
+
+def repeats(papers: DataFrame, by_id: bool, seq: str = "seq") -> DataFrame:
+    """The ``seq`` of every row that repeats an earlier one, as a stored table.
+
+    First repeated ids go (if ``by_id``), then repeated contents among the rest.
+    Everything is decided on id, content hash and ``seq``; no text is shuffled.
+    """
+    marks = papers.select("id", "content", seq)
+    first = keep_first(marks, ["id"], seq) if by_id else marks
+    kept = first.groupBy("content").agg(F.min(seq).alias(seq))
+    return stored(marks.select(seq).join(kept, seq, "left_anti"), "repeats")
+
+
 def deduplicate(papers: DataFrame, by_id: bool, seq: str = "seq") -> DataFrame:
-    """Keep the first paper per id (if ``by_id``), then per title and abstract."""
-    if by_id:
-        papers = keep_first(papers, ["id"], seq)
-    return keep_first(papers, ["title", "abstract"], seq)
+    """Keep the first paper per id (if ``by_id``), then per title and abstract.
+
+    ``papers`` comes from ``with_content`` and should be stored: its narrow
+    columns are read before the texts.  The repeats are taken out by an
+    anti-join on ``seq``.  Their table has a measured size: small ones are
+    broadcast, so the texts do not move at all; large ones cost one shuffle of
+    the texts, by a key without hot values.
+    """
+    return papers.join(repeats(papers, by_id, seq), seq, "left_anti")
 
 
 def row_key(by_id: bool) -> Column:
     """Key that is unique after ``deduplicate``: the id, or else the content."""
-    if by_id:
-        return F.col("id")
-    return F.md5(F.concat_ws(UNIT_SEPARATOR, "title", "abstract"))
+    return F.col("id" if by_id else "content")

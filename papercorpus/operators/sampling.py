@@ -242,22 +242,25 @@ def sample_rows(
 ) -> DataFrame:
     """Seeded sample of min(n, rows) rows, of each ``by`` group if given.
 
-    Small samples are a top-k whose partial results are cut before the shuffle;
-    larger ones use a cut point, so no task holds a whole sample.
+    A small sample of a whole table is a top-k.  Otherwise the cut point of every
+    group is found on narrow columns, for small ``n`` by ranking rows with the
+    ranks cut off before the shuffle, and the rows are filtered where they are.
     """
     order = seeded_order(seed, salt, key)
     if n <= 0:
         return df.limit(0)
     if n <= TOP_ROWS and by is None:
         return df.orderBy(order).limit(n)
-    if n <= TOP_ROWS:
-        place = F.row_number().over(Window.partitionBy(by).orderBy(order))
-        return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
     group = None if by is None else stratum_of(by)
     rows = _narrow(df, group, order)
-    histogram = _histogram(rows)
-    quotas = _sizes(histogram).withColumn("quota", F.least("size", F.lit(n)))
-    points = _cut_points(rows, histogram, quotas)
+    if n <= TOP_ROWS:
+        place = F.row_number().over(Window.partitionBy("stratum").orderBy("order"))
+        first = rows.withColumn("place", place).filter(F.col("place") <= n)
+        points = stored(first.groupBy("stratum").agg(F.max("order").alias("point")), "points")
+    else:
+        histogram = _histogram(rows)
+        quotas = _sizes(histogram).withColumn("quota", F.least("size", F.lit(n)))
+        points = _cut_points(rows, histogram, quotas)
     if by is None:
         found = points.first()
         points = found["point"] if found else ""

@@ -231,18 +231,20 @@ def papers_clean_strict(spark, folder):
                          F.length("abstract").alias("abstract_chars"))
 
 
+def deduplicated(papers: DataFrame) -> DataFrame:
+    marked = stored(cleaning.with_content(cleaning.clean_papers(papers)), "papers")
+    firsts = cleaning.deduplicate(marked, cleaning.ids_filled(marked))
+    return firsts.select("id", "title", "abstract", "seq")
+
+
 @query
 def deduplicate_by_id(spark, folder):
-    papers = cleaning.clean_papers(inputs.shared_id_papers(spark, folder, blanks=False))
-    by_id = cleaning.ids_filled(papers)
-    return cleaning.deduplicate(papers, by_id).select("id", "title", "abstract", "seq")
+    return deduplicated(inputs.shared_id_papers(spark, folder, blanks=False))
 
 
 @query
 def deduplicate_gate_closed(spark, folder):
-    papers = cleaning.clean_papers(inputs.shared_id_papers(spark, folder, blanks=True))
-    by_id = cleaning.ids_filled(papers)
-    return cleaning.deduplicate(papers, by_id).select("id", "title", "abstract", "seq")
+    return deduplicated(inputs.shared_id_papers(spark, folder, blanks=True))
 
 
 @query

@@ -13,7 +13,7 @@ from ..operators.quality import quality_scorecard
 from ..operators.reporting import metric_long_table
 from ..operators.sampling import evaluation_cap
 from ..operators.scoring import Predictor, example_block, few_shot_examples, predict_titles
-from ..sources.shared import spread, stored
+from ..sources.shared import stored
 
 
 def predict_splits(
@@ -27,15 +27,23 @@ def predict_splits(
     max_rows: int = 0,
     instruction: str = INSTRUCTION,
     max_words: int = 15,
+    partitions: int | None = None,
     **options,
 ) -> DataFrame:
     """Predictions for the chosen splits as a stored table.
 
+    The rows are dealt out evenly to ``partitions`` tasks (default: one per core,
+    0: as they lie), since a prediction costs far more than moving its row.
+
     Storing matters: metrics and outputs read the table several times, and the
     predictor is by far the most expensive step.
     """
     chosen = papers.filter(F.col("split").isin(list(splits)))
-    chosen = spread(evaluation_cap(chosen, max_rows, seed, F.col(key)))
+    chosen = evaluation_cap(chosen, max_rows, seed, F.col(key))
+    if partitions is None:
+        partitions = papers.sparkSession.sparkContext.defaultParallelism
+    if partitions:
+        chosen = chosen.repartition(partitions)
     block = None
     if num_shots > 0:
         train = papers.filter(F.col("split") == "train")

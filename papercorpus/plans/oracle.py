@@ -674,7 +674,7 @@ ORACLES["prepare_split_counts"] = query(
 ORACLES["prepare_blank_ids"] = query(
     **CLEAN_PAPERS,
     firsts=keep_first("cleaned", "title", "abstract"),
-    keyed="SELECT *, md5(title || chr(31) || abstract) AS row_key FROM firsts",
+    keyed="SELECT *, sha256(title || chr(31) || abstract) AS row_key FROM firsts",
     **split("keyed", "row_key", "primary_topic"),
     result="SELECT row_key, title, split FROM split_table",
 )

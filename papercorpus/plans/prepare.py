@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.canonical import canonicalise
-from ..operators.cleaning import clean_papers, deduplicate, ids_filled, row_key
+from ..operators.cleaning import (
+    clean_papers, deduplicate, ids_filled, row_key, with_content,
+)
 from ..operators.sampling import split_rows
 from ..sources.shared import stored
 
@@ -27,14 +29,16 @@ def prepare(
 ) -> DataFrame:
     """Canonical papers with a ``split`` column and ``row_key``.
 
-    The papers are stored once after deduplication, the last step that shuffles
-    texts; splitting then reads only the narrow columns of that table.
+    The clean papers are stored once.  Duplicates and splits are then settled on
+    narrow columns of that table, and the texts are read a second time only to be
+    handed on with their label.
     """
     canonical = canonicalise(raw, layout, **columns, carry=[seq])
-    papers = clean_papers(canonical, min_title_chars, min_abstract_chars)
+    cleaned = clean_papers(canonical, min_title_chars, min_abstract_chars)
+    papers = stored(with_content(cleaned), "papers")
     key = F.col(seq).cast("string")
     if remove_duplicates:
-        by_id = ids_filled(papers, source=canonical)
+        by_id = ids_filled(papers)
         papers, key = deduplicate(papers, by_id, seq), row_key(by_id)
-    papers = stored(papers.withColumn("row_key", key).drop(seq), "papers")
+    papers = papers.withColumn("row_key", key).drop(seq, "content")
     return split_rows(papers, train, val, test, seed, F.col("row_key"), stratify)

@@ -40,11 +40,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input out to all cores; inputs with enough pieces stay as they are.
+def spread(table: DataFrame) -> DataFrame:
+    """Deal a small table out to all cores; tables with enough pieces stay as they are.
 
     A single file with a single row group is one task however much work follows.
-    Only the number of input pieces is looked at, no job runs.
+    For tables as they are read: counting the pieces of a scan runs no job.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

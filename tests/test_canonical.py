@@ -2,7 +2,7 @@ import pytest
 
 from papercorpus.operators.canonical import canonicalise, detect_layout, resolve_layout
 from papercorpus.operators.cleaning import (
-    clean_papers, deduplicate, ids_filled, keep_first,
+    clean_papers, deduplicate, ids_filled, keep_first, with_content,
 )
 from papercorpus.plans.prepare import prepare
 
@@ -35,7 +35,7 @@ def test_standard_papers_with_a_copy(spark):
     rows = [("A1", "Title one", LONG + "1", "NLP", 1), ("A1", "Title one", LONG + "1", "NLP", 2),
             ("A2", "Title two", LONG + "2", "CV", 3)]
     raw = spark.createDataFrame(rows, "id string, title string, abstract string, primary_topic string, seq long")
-    papers = clean_papers(canonicalise(raw, carry=["seq"]))
+    papers = with_content(clean_papers(canonicalise(raw, carry=["seq"])))
     kept = deduplicate(papers, ids_filled(papers)).collect()
     assert sorted((r["id"], r["seq"]) for r in kept) == [("A1", 1), ("A2", 3)]
     assert {"id", "title", "abstract"} <= set(kept[0].asDict())
@@ -69,7 +69,7 @@ PAPERS = "id string, title string, abstract string, seq int"
 
 def test_one_blank_id_closes_the_gate(spark):
     rows = [("A", "t1", "a1", 2), ("A", "t2", "a2", 1), (" ", "t3", "a3", 3), (None, "t3", "a3", 4)]
-    papers = spark.createDataFrame(rows, PAPERS)
+    papers = with_content(spark.createDataFrame(rows, PAPERS))
     assert not ids_filled(papers)
     assert not ids_filled(papers.filter("id is null"))
     assert sorted(r["seq"] for r in deduplicate(papers, False).collect()) == [1, 2, 3]
@@ -79,7 +79,7 @@ def test_one_blank_id_closes_the_gate(spark):
 def test_gate_sees_only_rows_that_pass_the_filters(spark):
     rows = [("A", "title one", "x" * 50, 1), ("", "t", "x", 2)]
     raw = spark.createDataFrame(rows, PAPERS)
-    assert ids_filled(clean_papers(raw), source=raw)
+    assert ids_filled(clean_papers(raw))
     assert not ids_filled(raw)
 
 
@@ -90,3 +90,18 @@ def test_keep_first_is_exact_for_a_hot_key(spark):
     for i in range(20_000):
         best["hot" if i % 3 == 0 else str(i % 500)] = i
     assert {r["k"]: r["v"] for r in kept} == best
+
+
+def test_ids_go_before_contents(spark):
+    """The copy that survives by content is looked for among the first rows per id."""
+    rows = [("A", "t1", "x", 1), ("A", "t2", "x", 2), ("B", "t2", "x", 3), ("C", "t2", "x", 4)]
+    papers = with_content(spark.createDataFrame(rows, PAPERS))
+    assert sorted(r["seq"] for r in deduplicate(papers, True).collect()) == [1, 3]
+    assert sorted(r["seq"] for r in deduplicate(papers, False).collect()) == [1, 2]
+
+
+def test_duplicates_may_stay(spark):
+    rows = [("A", "title", LONG, 1), ("A", "title", LONG, 2), ("A", "title", LONG, 3)]
+    raw = spark.createDataFrame(rows, PAPERS)
+    kept = prepare(raw, remove_duplicates=False, stratify=None)
+    assert sorted(r["row_key"] for r in kept.collect()) == ["1", "2", "3"]
