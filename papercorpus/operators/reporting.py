@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import split_sizes
+
 
 def best_checkpoint(
     checkpoints: DataFrame, metric: str = "eval_rougeL", greater_is_better: bool = True
@@ -42,6 +44,16 @@ def metric_long_table(
     return long.select(*by, F.lit(family).alias("family"), "metric", "value")
 
 
+def size_rows(papers: DataFrame) -> DataFrame:
+    """Split sizes in the form of the long metric table."""
+    return split_sizes(papers).select(
+        "split",
+        F.lit("dataset_sizes").alias("family"),
+        F.lit("rows").alias("metric"),
+        F.col("rows").cast("double").alias("value"),
+    )
+
+
 def tradeoff_table(metrics: DataFrame) -> DataFrame:
     """Per model and paradigm: ROUGE-1 and BERTScore F1 in percent.
 

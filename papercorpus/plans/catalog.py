@@ -792,6 +792,12 @@ def human_summary(spark, folder):
     )
 
 
+@query
+def dataset_sizes(spark, folder):
+    papers = inputs.papers(spark, folder).select("id", "topics")
+    return reporting.size_rows(sampling.split_rows(papers, seed=SEED, stratify="topics"))
+
+
 # --- sinks --------------------------------------------------------------------
 
 

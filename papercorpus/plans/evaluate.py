@@ -63,9 +63,17 @@ def evaluate(
     by: Sequence[str] = ("split",),
     metrics: Iterable[str] | None = None,
     stem: bool = True,
+    token_vectors: tuple[str, str] | None = None,
+    vectors: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Long table (by..., family, metric, value) of text and quality metrics."""
+    """Long table (by..., family, metric, value) of text and quality metrics.
+
+    The two vector arguments name supplied columns: token vectors for the
+    matching scores, sentence vectors for the semantic score.
+    """
     rows = scored_rows(predictions)
-    text = metric_long_table(text_metrics(rows, by, metrics, stem), by, "text")
-    quality = metric_long_table(quality_scorecard(rows, by), by, "quality")
-    return text.unionByName(quality)
+    text = text_metrics(rows, by, metrics, stem, token_vectors)
+    quality = quality_scorecard(rows, by, vectors=vectors)
+    return metric_long_table(text, by, "text").unionByName(
+        metric_long_table(quality, by, "quality")
+    )

@@ -1074,6 +1074,14 @@ SELECT model, criterion, round(a, 6) AS zero_shot, round(b, 6) AS few_shot,
   round(b - a, 6) AS change FROM means""",
 )
 
+ORACLES["dataset_sizes"] = query(
+    **BASE,
+    **split("papers", "id", "topics"),
+    result="""
+SELECT split, 'dataset_sizes' AS family, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value
+FROM (SELECT split FROM split_table UNION ALL SELECT 'full' FROM split_table) GROUP BY split""",
+)
+
 ORACLES["works_jsonl_round_trip"] = query(
     **WORK, normal=NORMAL, result="SELECT * EXCLUDE (seq) FROM normal"
 )

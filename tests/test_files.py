@@ -6,7 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from papercorpus.operators import reporting
+from papercorpus.operators.cleaning import keep_first
 from papercorpus.plans.collect import collect, collect_to
+from papercorpus.plans.prepare import prepare
 from papercorpus.sources import readers, writers
 from papercorpus.sources.shared import shared_folder, spread, stored
 from papercorpus.streaming import arrivals
@@ -30,6 +32,21 @@ def test_csv_keeps_odd_texts(spark, tmp_path):
     assert sorted(pd.concat(parts)["title"]) == sorted(ODD)
 
 
+def test_papers_from_csv_to_splits(spark, tmp_path):
+    """The whole preparation of CSV files, duplicates settled by their place in the files."""
+    rows = [(str(i % 60), f"Title of {i % 60}", f"The abstract of paper {i % 60}, long enough to stay.",
+             "AB"[i % 2], str(i)) for i in range(120)]
+    raw = spark.createDataFrame(rows, "id string, title string, abstract string, primary_topic string, copy string")
+    path = str(tmp_path / "in")
+    ordered = raw.repartitionByRange(3, F.col("copy").cast("int")).sortWithinPartitions(F.col("copy").cast("int"))
+    ordered.write.options(header=True, quoteAll=True, escape='"').csv(path)
+    read = readers.read_papers_csv(spark, path)
+    first = keep_first(read, ["id"]).select("copy").collect()
+    assert sorted(int(r["copy"]) for r in first) == list(range(60))
+    counts = {r["split"]: r["count"] for r in prepare(read).groupBy("split").count().collect()}
+    assert counts == {"train": 48, "val": 6, "test": 6}
+
+
 def test_missing_file(spark, tmp_path):
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         readers.read_papers_csv(spark, str(tmp_path / "none"))
