@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, wraps
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +15,7 @@ from ..functions.stemming import stem_text
 from ..operators import cleaning, collection, overlap, quality, reporting, sampling, scoring
 from ..operators.canonical import canonical_columns, canonicalise
 from ..sources import readers, writers
-from ..sources.shared import scratch_path, stored
+from ..sources.shared import scratch_path, ship_package, stored
 from . import inputs
 from .collect import collect, collect_to
 from .evaluate import evaluate, predict_splits
@@ -29,8 +29,13 @@ RUN = ["run", "split"]
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, folder)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def six(value: Column, name: str) -> Column:
@@ -64,9 +69,10 @@ def landed_works(spark: SparkSession, folder: str) -> str:
 def works_read_json(spark, folder):
     works = readers.read_works(spark, landed_works(spark, folder), seq=None)
     return works.select(
-        "id", "title", "display_name", "publication_year",
+        "id", "title", "display_name",
+        F.col("publication_year").cast("long").alias("publication_year"),
         F.col("publication_date").cast("string").alias("publication_date"),
-        F.size("abstract_inverted_index").alias("index_words"),
+        F.size("abstract_inverted_index").cast("long").alias("index_words"),
         listed(F.transform("topics", lambda t: t["id"])).alias("topic_urls"),
     )
 
@@ -178,7 +184,9 @@ def canonical_keep_columns(spark, folder):
 @query
 def works_normalise(spark, folder):
     papers = collection.normalise_works(inputs.works(spark, folder), True, carry=["seq"])
-    return papers.withColumn("topics", listed("topics"))
+    return papers.withColumns(
+        {"topics": listed("topics"), "publication_year": F.col("publication_year").cast("long")}
+    )
 
 
 @query
@@ -227,8 +235,8 @@ def papers_clean(spark, folder):
 @query
 def papers_clean_strict(spark, folder):
     papers = cleaning.clean_papers(inputs.papers(spark, folder), 60, 1500)
-    return papers.select("id", F.length("title").alias("title_chars"),
-                         F.length("abstract").alias("abstract_chars"))
+    return papers.select("id", F.length("title").cast("long").alias("title_chars"),
+                         F.length("abstract").cast("long").alias("abstract_chars"))
 
 
 def deduplicated(papers: DataFrame) -> DataFrame:
@@ -337,7 +345,8 @@ def split_sizes(spark, folder):
 @query
 def few_shot_examples(spark, folder):
     train = inputs.papers(spark, folder).filter("seq % 3 > 0")
-    return scoring.few_shot_examples(train, 4, SEED, F.col("id"))
+    shots = scoring.few_shot_examples(train, 4, SEED, F.col("id"))
+    return shots.withColumn("number", F.col("number").cast("long"))
 
 
 @query
@@ -422,7 +431,7 @@ def text_slug(spark, folder):
 @query
 def text_words(spark, folder):
     return documents(spark, folder).select(
-        "doc_id", text.word_count(F.col("text")).alias("word_count"),
+        "doc_id", text.word_count(F.col("text")).cast("long").alias("word_count"),
         F.array_join(text.words(inputs.first_line()), " ").alias("title_words"),
     )
 
@@ -807,7 +816,9 @@ def works_jsonl_round_trip(spark, folder):
     papers = collection.normalise_works(inputs.works(spark, folder), True)
     writers.write_jsonl(papers, path)
     read = spark.read.schema(papers.schema).json(path)
-    return read.withColumn("topics", listed("topics"))
+    return read.withColumns(
+        {"topics": listed("topics"), "publication_year": F.col("publication_year").cast("long")}
+    )
 
 
 @query
@@ -881,7 +892,9 @@ def few_shot_round_trip(spark, folder):
     shots = scoring.few_shot_examples(train, 6, SEED, F.col("id"))
     writers.write_jsonl(shots, path)
     read = spark.read.schema(shots.schema).json(path)
-    return read.select("number", "title", F.md5("abstract").alias("abstract_md5"))
+    return read.select(
+        F.col("number").cast("long").alias("number"), "title", F.md5("abstract").alias("abstract_md5")
+    )
 
 
 @query

@@ -3,11 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 from uuid import uuid4
+from zipfile import ZipFile
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+PACKAGE = Path(__file__).resolve().parents[1]
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once per application.
+
+    Not needed where the package is installed on every machine or given with
+    ``--py-files``; without either, workers could not load the Python helpers.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="papercorpus-")) / "papercorpus-package.zip"
+    with ZipFile(archive, "w") as files:
+        for source in sorted(PACKAGE.rglob("*.py")):
+            files.write(source, source.relative_to(PACKAGE.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(application)
 
 
 def shared_folder(spark: SparkSession) -> str:

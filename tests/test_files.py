@@ -1,4 +1,6 @@
 import json
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -152,6 +154,17 @@ def test_shared_folder_follows_the_setting(spark):
     assert shared_folder(spark) in table.inputFiles()[0]
 
 
+def test_queries_run_from_any_folder(folder, tmp_path):
+    """Python workers find the package though it lies elsewhere than the working folder."""
+    root = Path(__file__).resolve().parents[1]
+    code = (f"import sys; sys.path.insert(0, {str(root)!r}); import __spark_entry__ as e; "
+            "from pyspark.sql import SparkSession; "
+            "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); "
+            f"print('rows', e.queries()['vocabulary_stems'](spark, {folder!r}).count())")
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows" in done.stdout, done.stderr[-2000:]
+
+
 def test_spread_only_touches_small_inputs(spark):
     assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 8
     wide = spark.range(0, 10, 1, 20)
