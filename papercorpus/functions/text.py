@@ -15,14 +15,10 @@ WHITESPACE = (
     "           "
     "    　"
 )
-WHITESPACE_CLASS = (
-    r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}"
-    r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
 
 # Patterns of the word, title and slug rules.
 WORD = "[A-Za-z0-9]+"
-QUOTE_RUN = "^[\"'`]+|[\"'`]+$"
+QUOTES = "\"'`"
 TITLE_PREFIX = "(?i)^ *title *: *"
 NOT_SLUG = "[^a-z0-9_-]+"
 SLUG_CHARS = 80
@@ -59,8 +55,7 @@ def collapse(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim white space at both ends only; null becomes ''."""
-    ends = rf"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+\z"
-    return F.regexp_replace(F.coalesce(text, F.lit("")), ends, "")
+    return F.trim(F.coalesce(text, F.lit("")), F.lit(WHITESPACE))
 
 
 def words(text: Column) -> Column:
@@ -91,13 +86,14 @@ def clean_title(raw: Column, max_words: int = 15) -> Column:
     The order is part of the rule: quotes go before the ``title:`` prefix, so a
     quote behind the prefix stays.
     """
-    unquoted = F.trim(F.regexp_replace(collapse(raw), QUOTE_RUN, ""))
+    unquoted = F.trim(F.trim(collapse(raw), F.lit(QUOTES)))
     return first_words(F.trim(F.regexp_replace(unquoted, TITLE_PREFIX, "")), max_words)
 
 
 def rouge_text(text: Column) -> Column:
     """Lower-cased words joined by single spaces, everything else dropped."""
-    return F.trim(F.regexp_replace(F.lower(collapse(text)), "[^a-z0-9]+", " "))
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " "))
 
 
 def bleu_text(text: Column) -> Column:

@@ -39,7 +39,7 @@ def rebuild_abstract(index: Column) -> Column:
 
 def short_id(url: Column) -> Column:
     """Last path segment of an id URL without trailing slashes; '' gives null."""
-    segment = F.substring_index(F.regexp_replace(url, "/+$", ""), "/", -1)
+    segment = F.substring_index(F.rtrim(url, F.lit("/")), "/", -1)
     return F.when(url != "", segment)
 
 

@@ -12,12 +12,16 @@ from string import ascii_lowercase, ascii_uppercase
 
 from ..functions import prompts, stemming
 from ..functions.text import (
-    BLEU_ENTITIES, BLEU_SPACING, NOT_SLUG, QUOTE_RUN, SLUG_CHARS, SLUG_FALLBACK, WHITESPACE_CLASS,
+    BLEU_ENTITIES, BLEU_SPACING, NOT_SLUG, QUOTES, SLUG_CHARS, SLUG_FALLBACK,
 )
 from ..operators.canonical import CANONICAL
 from ..operators.quality import ROW_METRICS
 
-WS = WHITESPACE_CLASS
+# fixed value: the white space of the text rules as a regex class
+WS = (
+    r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}"
+    r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 SITE = "https://example.org"
 SEED = 42
 ORACLES: dict[str, str] = {}
@@ -65,7 +69,8 @@ def bleu_text(x: str) -> str:
 
 
 def clean_title(raw: str, max_words: int) -> str:
-    unquoted = f"trim(regexp_replace({collapse(raw)}, {lit(QUOTE_RUN)}, '', 'g'))"
+    quotes = lit(f"^[{QUOTES}]+|[{QUOTES}]+$")
+    unquoted = f"trim(regexp_replace({collapse(raw)}, {quotes}, '', 'g'))"
     title = f"trim(regexp_replace({unquoted}, '^ *title *: *', '', 'i'))"
     return first_words(title, max_words) if max_words > 0 else title
 
