@@ -11,7 +11,6 @@ from ..functions.arrays import clipped_overlap, longer_ngrams, ngrams
 from ..functions.stemming import lcs_length, stem_text
 from ..functions.text import bleu_text, rouge_text, split_words
 from ..functions.vectors import greedy_match
-from ..sources.shared import stored
 
 # Metric names, n-gram orders, and the score that marks a failure.
 DEFAULT_METRICS = ("bleu", "rouge", "bertscore")
@@ -182,8 +181,3 @@ def bootstrap(
     return means.groupBy(*by).agg(
         *[F.percentile("mean", F.lit(p)).alias(name) for name, p in points.items()]
     )
-
-
-def stored_rouge(rows: DataFrame, stem: bool = True) -> DataFrame:
-    """Row-level ROUGE kept as a table, for when means and resamples both read it."""
-    return stored(rouge_rows(rows, stem), "rouge")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays, text, vectors, works as work_text
+from ..functions import arrays, text, vectors
+from ..functions import works as work_text
 from ..functions.prompts import mode_label, seq2seq_prompt, title_prompt
 from ..functions.stemming import stem_text
 from ..operators import cleaning, collection, overlap, quality, reporting, sampling, scoring
