@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from papercorpus.plans import catalog, oracle
 
 from .comparing import differences
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, oracle.ORACLES
 
 
 def test_every_query_has_sql():
