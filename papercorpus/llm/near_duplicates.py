@@ -2,15 +2,24 @@
 
 Two permutations of the 2^32 shingle numbers make all signature coordinates: the first
 scatters a document's shingles once, the second is read at positions shifted round the
-circle by the number of the coordinate. Six coordinates make a band, 24 bands in all: a
-pair at 0.85 shares no band with a chance of about 1e-5, at 0.8 of 6e-4.
+circle by the number of the coordinate. Six coordinates make a band, 32 bands in all: a
+pair at 0.85 shares no band with a chance of about 3e-7, at 0.8 of 6e-5. One bit of each
+coordinate is kept too: of these 192 bits a pair at s differs in about 96 * (1 - s), and
+pairs are passed over only beyond six standard deviations of that (a chance of 1e-9).
 
 Links are found without writing out all pairs of a bucket:
 
 1. Documents with equal shingle sets form classes; one document stands for each.
-2. In each bucket of a band, every class is checked against one hub, on full sets.
-3. Buckets whose classes are now all in one component are done. Only in the others are
-   the pairs of different components checked, without those that sizes rule out.
+2. In each bucket of a band, every class is checked against one hub, on full sets: the
+   class of most copies. Buckets whose classes are now all in one component are done; in
+   the others all are checked against a second hub, the class most of whose shingles are
+   found in 16 classes of the bucket.
+3. In the buckets still open the shingles of each class are put in order, those rare among 16 classes of the bucket's
+   hub first (any order common to the hub's classes is exact; this one is short). Of two
+   sets as alike as asked, the first n - ceil(2 * limit / (1 + limit) * n) + 1 of the
+   smaller and the first n - ceil(limit * n) + 1 of the larger one share a shingle, so
+   classes of different components meet on these, not on what all of them share. Pairs
+   that sizes and bits do not rule out are checked on full sets.
 
 So a bucket of thousands of copies costs a row per copy, and no link that would join two
 components is left out.
@@ -29,9 +38,10 @@ from .components import components
 from .scratch import Scratch, spare
 from .words import U64, Texts, as_bytes, mix64, runs, windows
 
-ROWS, BANDS = 6, 24
+ROWS, BANDS = 6, 32
 SHINGLE, PERCENT = 5, 80
 U32 = np.uint32
+BITS = ["bits_0", "bits_1", "bits_2"]
 
 
 def permuted(x: np.ndarray, salt: int) -> np.ndarray:
@@ -73,7 +83,7 @@ def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
 def _described(shingle: int):
     def described(texts: pa.Array) -> pa.Array:
         rows = as_bytes(texts)
-        sizes, ones, twos, bands = [], [], [], []
+        sizes, ones, twos, bands, bits = [], [], [], [], []
         salts = mix64(np.arange(1, BANDS + 1, dtype=U64))
         for a, b in runs(rows):
             sets = shingle_sets(rows[a:b], shingle)
@@ -87,6 +97,8 @@ def _described(shingle: int):
                 for k in range(ROWS):
                     rolled = mix64(rolled + signature[:, k::ROWS].astype(U64))
                 keys = iter(rolled.view(np.int64))
+                low = np.packbits((signature & U32(1)).astype(np.uint8), axis=1)
+                sketch = iter(np.ascontiguousarray(low).view(np.int64).tolist())
                 one = iter(np.add.reduceat(flat, first).view(np.int64))
                 two = iter(np.add.reduceat(mix64(flat), first).view(np.int64))
             for s in sets:
@@ -94,11 +106,15 @@ def _described(shingle: int):
                 ones.append(int(next(one)) if len(s) else 0)
                 twos.append(int(next(two)) if len(s) else 0)
                 bands.append(next(keys) if len(s) else None)
+                bits.append(next(sketch) if len(s) else [0] * len(BITS))
         return pa.StructArray.from_arrays(
             [pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()),
-             pa.array(bands, pa.list_(pa.int64()))], names=["size", "one", "two", "bands"])
+             pa.array(bands, pa.list_(pa.int64())),
+             *(pa.array([b[k] for b in bits], pa.int64()) for k in range(len(BITS)))],
+            names=["size", "one", "two", "bands", *BITS])
 
-    return F.arrow_udf(described, "struct<size:bigint,one:bigint,two:bigint,bands:array<bigint>>").asNondeterministic()
+    kinds = "".join(f",{b}:bigint" for b in BITS)
+    return F.arrow_udf(described, f"struct<size:bigint,one:bigint,two:bigint,bands:array<bigint>{kinds}>").asNondeterministic()
 
 
 def _sets(shingle: int):
@@ -124,6 +140,52 @@ def _linked(percent: int):
     return linked
 
 
+def _common(sets: pa.Array) -> pa.Array:
+    """Shingles found in two or more of the sets, in order, then in how many."""
+    out = []
+    for group in sets:
+        found, seen = np.unique(np.concatenate([np.frombuffer(x.as_py(), U64) for x in group]), return_counts=True)
+        out.append(np.concatenate([found[seen > 1], seen[seen > 1].astype(U64)]).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def _times(x: pa.Scalar, y: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set, and in how many of the sampled sets each was found (0 for one or none)."""
+    u, v = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
+    v, seen = v[: len(v) // 2], v[len(v) // 2 :]
+    times = np.zeros(len(u), U64)
+    if len(v):
+        at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+        times[v[at] == u] = seen[at[v[at] == u]]
+    return u, times
+
+
+def _centrality(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        scores = [float(_times(x, y)[1].mean()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("hub"), pa.array(scores, pa.float64())],
+                                         names=["node", "hub", "score"])
+
+
+def _rarest(percent: int):
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, found, early = [], [np.zeros(0, U64)], [np.zeros(0, bool)]
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                u, times = _times(x, y)
+                order = np.argsort(times, kind="stable")  # u is in order, so ties are
+                found.append(u[order][: len(u) + 1 + -percent * len(u) // 100])
+                sizes.append(len(found[-1]))
+                early.append(np.arange(sizes[-1]) <= len(u) + -2 * percent * len(u) // (100 + percent))
+            take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(take), batch.column("hub").take(take),
+                 pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(early))],
+                names=["node", "hub", "shingle", "early"])
+
+    return rarest
+
+
 def _checked(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) whose full sets are as alike as ``percent``."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -149,46 +211,87 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     found = scratch.store(narrow.select("doc_id", "d.*"), "signatures")
     filled = found.filter("size > 0 and doc_id is not null")
 
-    kinds = filled.groupBy("size", "one", "two").agg(F.min("doc_id").alias("node"))
-    classes = scratch.store(filled.select("size", "one", "two", "doc_id", "bands").join(
+    kinds = filled.groupBy("size", "one", "two").agg(
+        F.min("doc_id").alias("node"), (-F.count("*")).alias("rank"))
+    classes = scratch.store(filled.select("size", "one", "two", "doc_id", "bands", *BITS).join(
         kinds.withColumnRenamed("node", "doc_id"), ["size", "one", "two", "doc_id"]), "classes")
-    members = classes.select(F.col("doc_id").alias("node"), "size", F.explode("bands").alias("band")).distinct()
-    hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-    shared = scratch.store(members.join(hubs.filter("hub < last").select("band", "hub"), "band"), "buckets")
+    members = classes.select(F.col("doc_id").alias("node"), "size", "rank", F.explode("bands").alias("band")).distinct()
+    hubs = members.groupBy("band").agg(F.min(F.struct("rank", "node"))["node"].alias("hub"),
+                                       F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = scratch.store(members.drop("rank").join(hubs.filter("low < high").select("band", "hub"), "band"), "buckets")
 
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
     sets = scratch.store(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
         .select(F.col("doc_id").alias("node"), _sets(shingle)(F.col("text").cast("binary")).alias("shingles")), "sets")
 
+    def set_as(node: str, shingles: str) -> DataFrame:
+        return sets.select(F.col("node").alias(node), F.col("shingles").alias(shingles))
+
     def alike(a: str, b: str):
         return (100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b)))
 
-    sizes = shared.groupBy("node").agg(F.min("size").alias("hub_size")).withColumnRenamed("node", "hub")
-    first = shared.filter("node <> hub").select("node", "size", "hub").distinct().join(sizes, "hub").filter(
-        alike("size", "hub_size")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    sizes = shared.groupBy("node").agg(F.min("size").alias("center_size")).withColumnRenamed("node", "center")
+
+    def to_check(spokes: DataFrame) -> DataFrame:
+        """Pairs (a, b), a < b, of each node and its center (node, size, center)."""
+        return spokes.filter("node <> center").join(sizes, "center").filter(alike("size", "center_size")).select(
+            F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+
+    first = to_check(shared.select("node", "size", F.col("hub").alias("center")))
     links = scratch.store(_checked(first, sets, percent), "links")
     # copies in a class, and rows that share an id, are linked without a check
     same = filled.join(kinds, ["size", "one", "two"]).select(
         F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    labels = scratch.store(components(links, scratch), "components")
-
-    placed = shared.join(labels, "node", "left").select(
-        "band", "node", "size", F.coalesce("component", "node").alias("component"))
-    open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
-        "low < high").select("band")
-    rest = scratch.store(placed.join(open_bands, "band", "left_semi"), "open-buckets")
-    x = rest.select("band", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("of_a"))
-    y = rest.select("band", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("of_b"))
-    open_pairs = x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b"))
-                        & alike("size_a", "size_b")).select("a", "b").distinct().join(
-        first.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
+    sketches = classes.select(F.col("doc_id").alias("node"), *BITS).dropDuplicates(["node"])
+
+    def still_open(found: DataFrame, label: str) -> DataFrame:
+        """Nodes by hub in the buckets that hold two components or more."""
+        labels = scratch.store(components(found, scratch), "components")
+        placed = shared.join(labels, "node", "left").select(
+            "band", "hub", "node", "size", F.coalesce("component", "node").alias("component"))
+        bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
+            "low < high").select("band")
+        nodes = scratch.store(placed.join(bands, "band", "left_semi").drop("band").distinct().join(sketches, "node"), label)
+        scratch.drop(labels)
+        return nodes
+
+    nodes = still_open(links, "open-1")
+    some = nodes.groupBy("hub", F.pmod(F.xxhash64("node"), F.lit(16))).agg(F.min("node").alias("node")).select("hub", "node")
+    common = F.arrow_udf(_common, "binary").asNondeterministic()
+    orders = scratch.store(some.join(set_as("node", "x"), "node").groupBy("hub").agg(
+        F.collect_list("x").alias("sets")).select("hub", common("sets").alias("y")), "orders")
+
+    def ordered(of: DataFrame) -> DataFrame:
+        return of.select("node", "hub").join(set_as("node", "x"), "node").join(orders, "hub").select("node", "hub", "x", "y")
+
+    central = scratch.store(ordered(nodes).mapInArrow(_centrality, "node bigint, hub bigint, score double"), "centrality")
+    centers = central.groupBy("hub").agg(F.max(F.struct("score", "node"))["node"].alias("center"))
+    second = to_check(nodes.join(centers, "hub").select("node", "size", "center")).join(first, ["a", "b"], "left_anti")
+    links_2 = scratch.store(_checked(second, sets, percent), "links")
+    scratch.drop(nodes, central)
+    nodes = still_open(links.unionByName(links_2), "open-2")
+    rare = ordered(nodes).mapInArrow(_rarest(percent), "node bigint, hub bigint, shingle bigint, early boolean")
+    rest = scratch.store(rare.join(nodes, ["node", "hub"]), "open-prefixes")
+
+    def side(name: str, of: DataFrame) -> DataFrame:
+        return of.select(*(F.col(c).alias(f"{c}_{name}") for c in ("hub", "shingle", "size", "component", *BITS)),
+                           F.col("node").alias(name))
+
+    differing = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITS), F.lit(0))
+    apart = ROWS * BANDS * (1 - percent / 100) / 2
+    near = differing <= apart + 6 * (apart * (1 - apart / (ROWS * BANDS))) ** 0.5
+    smaller = (F.col("size_a") < F.col("size_b")) | (F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b"))
+    open_pairs = side("a", rest.filter("early")).join(
+        side("b", rest), (F.col("hub_a") == F.col("hub_b")) & (F.col("shingle_a") == F.col("shingle_b")) & smaller
+        & (F.col("component_a") != F.col("component_b")) & alike("size_a", "size_b") & near).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = scratch.store(_checked(open_pairs, sets, percent), "links")
-    scratch.drop(labels, rest, shared, sets)
+    scratch.drop(nodes, orders, rest, shared, sets)
 
-    all_links = links.unionByName(more).unionByName(same)
+    all_links = links.unionByName(links_2).unionByName(more).unionByName(same)
     final = scratch.store(components(all_links, scratch), "components")
-    scratch.drop(links, more, classes)
+    scratch.drop(links, links_2, more, classes)
     placed = found.select("doc_id", F.col("size").alias("n_shingles")).join(
         final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
