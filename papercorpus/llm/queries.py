@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_duplicates, packing, quality_rules
+from ..sources.shared import ship_package
+from . import chat, context_mixing, fingerprints, line_dedup, mixing, near_duplicates, packing, personal_data, quality_rules, sharding
+from .words import runs
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document under the mixed model."""
+    return context_mixing.score_texts(documents(spark, folder))
+
+
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard of every document by extendible hashing, 1 MiB of text at most in each."""
+    return sharding.shard(documents(spark, folder), limit=1 << 20)
+
+
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document."""
+    found = personal_data.find_personal_data(documents(spark, folder).select("doc_id", "text"))
+    counts = [F.col(f"personal.n_{k}").alias(f"n_{k}") for k in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2("personal.base", 256).alias("base_sha256"),
+                        F.col("personal.spans").alias("spans"), F.col("personal.n_added").alias("n_added"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition measures and verdict of every document."""
     judged = quality_rules.judge(documents(spark, folder).select("doc_id", "text"))
@@ -25,6 +48,46 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
 
+def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation as formatted, read back from the output."""
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
+    chats = chat.format_chats(turns).withColumn("turns", chat.read_back(F.col("formatted")))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescape(s["text"])), "")
+    return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+                        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+                        F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+
+
+_FINGERPRINTED = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+                  "near_edited double, near_next double")
+
+
+def _fingerprinted(ids: list, texts: list[bytes], following: list[bytes]) -> pa.Table:
+    whole = [t.decode() for t in texts]
+    changed = [fingerprints.edited(t, n.decode()).encode() for t, n in zip(whole, following, strict=True)]
+    known = list(dict.fromkeys([*texts, *changed, *following]))
+    parts = {}
+    for a, b in runs(known):
+        parts |= zip(known[a:b], zip(*fingerprints.vectors(known[a:b]), strict=True), strict=True)
+    written = {t: fingerprints.encode([v[0]], [v[1]])[0] for t, v in parts.items()}
+    near = [[fingerprints.likeness(parts[t], parts[o]) for t, o in zip(texts, others, strict=True)] for others in (changed, following)]
+    return pa.table({
+        "doc_id": pa.array(ids, pa.int64()), "n_chars": pa.array([len(t) for t in whole], pa.int64()),
+        "edited_sha256": [sha256(t).hexdigest() for t in changed], "fingerprint": [written[t] for t in texts],
+        "edited_fingerprint": [written[t] for t in changed], "near_edited": pa.array(near[0], pa.float64()),
+        "near_next": pa.array(near[1], pa.float64())})
+
+
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    ship_package(spark)
+    return fingerprints.with_successor(documents(spark, folder), _fingerprinted, _FINGERPRINTED)
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document the mix takes."""
     return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
@@ -47,7 +110,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_quality_rules, op5_best_fit_packing, op8_mixing, op9_near_duplicates, op10_line_dedup, pipeline)}
+    op1_context_mixing, op2_sharding, op3_personal_data, op4_quality_rules, op5_best_fit_packing, op6_chat_formatting, op7_fingerprints, op8_mixing, op9_near_duplicates, op10_line_dedup, pipeline)}
 
 #: Name -> SQL of the same result; where SQL cannot express a query, tests compare it with brute force.
 ORACLES: dict[str, str] = {}
