@@ -113,7 +113,9 @@ def quality_scorecard(
     means = row_metrics(rows, by, min_words, max_words, score)
     ratios = corpus_metrics(rows, by)
     if by:
-        return means.join(ratios, list(by)).select(
+        right = ratios.withColumnsRenamed({key: f"_{key}" for key in by})
+        same = [means[key].eqNullSafe(right[f"_{key}"]) for key in by]  # null is a group too
+        return means.join(right, same).select(
             *by, *ROW_METRICS, *CORPUS_METRICS, *SEMANTIC_METRICS
         )
     single = [ratios.select(name).scalar().alias(name) for name in CORPUS_METRICS]

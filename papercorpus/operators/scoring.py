@@ -47,18 +47,28 @@ def example_block(examples: DataFrame) -> Column:
     return examples.agg(block.alias("block")).scalar()
 
 
-def _with_retry(model: Predictor, prompts: list[str], retries: int, pause: float) -> list[str]:
-    for attempt in range(retries + 1):
+def _answer(model: Predictor, prompts: list[str], retries: int, pause: float) -> list[str]:
+    """Answers to a batch.
+
+    After a failure the prompts still without an answer are asked again in parts half as
+    large, after a pause that grows each time, so answers once given are kept.
+    """
+    found: dict[int, str] = {}
+    size, failures = len(prompts), 0
+    while open_ := [i for i in range(len(prompts)) if i not in found][:size]:
         try:
-            answers = model(prompts)
-            break
+            answers = model([prompts[i] for i in open_])
         except Exception:
-            if attempt == retries:
+            failures += 1
+            if failures > retries:
                 raise
-            time.sleep(pause)
-    if len(answers) != len(prompts):
-        raise ValueError(f"predictor gave {len(answers)} answers to {len(prompts)} prompts")
-    return answers
+            size = max(1, size // 2)
+            time.sleep(pause * failures)
+            continue
+        if len(answers) != len(open_):
+            raise ValueError(f"predictor gave {len(answers)} answers to {len(open_)} prompts")
+        found |= zip(open_, answers, strict=True)
+    return [found[i] for i in range(len(prompts))]
 
 
 def predict(
@@ -72,8 +82,8 @@ def predict(
 
     ``make_predictor`` runs once per task and returns a function from a list of
     prompts to a list of answers.  Only the prompt column goes to the Python
-    worker.  A failing batch is tried again ``max_retries`` times; after that the
-    error is raised and Spark's own task retry takes over.
+    worker.  A failing batch is tried again, in smaller parts, until it has failed
+    more than ``max_retries`` times; then the error is raised and Spark's own task retry takes over.
     """
 
     @F.pandas_udf("string")
@@ -84,7 +94,7 @@ def predict(
             answers: list[str] = []
             for start in range(0, len(texts), batch_size):
                 batch = texts[start : start + batch_size]
-                answers += _with_retry(model, batch, max_retries, retry_pause)
+                answers += _answer(model, batch, max_retries, retry_pause)
             yield pd.Series(answers, dtype="object")
 
     return run.asNondeterministic()(prompt)

@@ -442,8 +442,7 @@ def text_ngrams(spark, folder):
     tokens = documents(spark, folder).select("doc_id", text.words(F.col("text")).alias("tokens"))
     t = F.col("tokens")
     grams = F.concat(*[arrays.tagged_ngrams(t, n) for n in (1, 2, 3, 4)])
-    counted = tokens.select(F.inline(grams)).groupBy("n", "gram").agg(F.count("*").alias("seen"))
-    return counted.filter("seen > 1")
+    return tokens.select(F.inline(grams)).groupBy("n", "gram").agg(F.count("*").alias("seen"))
 
 
 @query

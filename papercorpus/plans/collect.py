@@ -14,7 +14,7 @@ from ..sources.writers import write_collection
 def collect(
     spark: SparkSession,
     path: str,
-    max_results: int | None = 12000,
+    max_results: int | None = None,
     keep_empty: bool = False,
     **selection,
 ) -> DataFrame:
@@ -25,7 +25,7 @@ def collect(
 
 def collect_to(
     spark: SparkSession, path: str, root: str, query: str, stamp: str,
-    max_results: int | None = 12000, keep_empty: bool = False, **selection,
+    max_results: int | None = None, keep_empty: bool = False, **selection,
 ) -> str:
     papers = collect(spark, path, max_results, keep_empty, **selection)
     return write_collection(

@@ -785,7 +785,7 @@ ORACLES["text_ngrams"] = query(
     tokens=f"SELECT doc_id, {words('text')} AS pt FROM documents",
     grams=gram_rows("tokens", "pt", "doc_id", "[1, 2, 3, 4]"),
     result="""
-SELECT n, gram, CAST(sum(seen) AS BIGINT) AS seen FROM grams GROUP BY ALL HAVING sum(seen) > 1""",
+SELECT n, gram, CAST(sum(seen) AS BIGINT) AS seen FROM grams GROUP BY ALL""",
 )
 ORACLES["title_jaccard"] = query(
     **SCORED_PARTS,

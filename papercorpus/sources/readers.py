@@ -33,9 +33,14 @@ def file_order() -> Column:
     )
 
 
-def read_works(spark: SparkSession, path: str, seq: str | None = "seq") -> DataFrame:
-    """Raw works, one JSON object per line; unknown fields are ignored."""
-    reader = spark.read.schema(WORKS_SCHEMA)
+def read_works(
+    spark: SparkSession, path: str, seq: str | None = "seq", mode: str = "FAILFAST"
+) -> DataFrame:
+    """Raw works, one JSON object per line; unknown fields are ignored.
+
+    A line that cannot be read is an error, unless ``mode`` says otherwise.
+    """
+    reader = spark.read.schema(WORKS_SCHEMA).option("mode", mode)
     works = reader.json(path)
     return works if seq is None else works.select("*", file_order().alias(seq))
 
@@ -72,12 +77,14 @@ def read_splits(
     path: str,
     fmt: str = "parquet",
     required: Sequence[str] = ("title", "abstract"),
+    multi_line: bool = True,
 ) -> DataFrame:
     """Prepared splits as one table with a ``split`` column.
 
-    All three splits must be there.  ``required=()`` skips the column check.
+    All three splits must be there.  ``required=()`` skips the column check. CSV files
+    can be read in pieces with ``multi_line=False``, if no field holds a line break.
     """
-    reader = _csv(spark, True) if fmt == "csv" else spark.read
+    reader = _csv(spark, multi_line) if fmt == "csv" else spark.read
     folders = [f"{path}/split={name}" for name in SPLITS]
     try:
         table = reader.format(fmt).option("basePath", path).load(folders)

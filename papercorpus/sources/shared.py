@@ -34,12 +34,15 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the session's settings.
 
-    Only where none is named (single-machine tests) a fresh temporary folder is
-    made and becomes the session's checkpoint folder.
+    Only on a single machine (master ``local``), where none is named, a fresh temporary
+    folder is made and becomes the session's checkpoint folder. On a cluster that would
+    be a folder of each machine's own, so it is an error there.
     """
     context = spark.sparkContext
     folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"set {SETTING} to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="papercorpus-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")

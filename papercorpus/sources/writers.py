@@ -26,11 +26,15 @@ def _csv(df: DataFrame):
     )
 
 
+def flat_fields(df: DataFrame) -> DataFrame:
+    """Arrays as JSON text, as CSV has no arrays."""
+    arrays = [f.name for f in df.schema if isinstance(f.dataType, ArrayType)]
+    return df.withColumns({c: F.to_json(c) for c in arrays})
+
+
 def csv_fields(df: DataFrame) -> DataFrame:
     """The canonical columns with topics as JSON text."""
-    arrays = {f.name for f in df.schema if isinstance(f.dataType, ArrayType)}
-    columns = [c for c in CANONICAL if c in df.columns]
-    return df.select([F.to_json(c).alias(c) if c in arrays else c for c in columns])
+    return flat_fields(df.select([c for c in CANONICAL if c in df.columns]))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -78,7 +82,7 @@ def write_collection(
 
 
 def write_by_split(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    writer = _csv(df) if fmt == "csv" else df.write
+    writer = _csv(flat_fields(df)) if fmt == "csv" else df.write
     writer.partitionBy("split").format(fmt).save(path)
 
 

@@ -187,3 +187,23 @@ def test_human_summary_with_a_missing_setting(spark):
     df = spark.createDataFrame(rows, "model string, setting string, criterion string, score double")
     got = {r["model"]: (r["zero_shot"], r["few_shot"], r["change"]) for r in reporting.human_summary(df).collect()}
     assert got == {"m": (4.0, 5.0, 1.0), "n": (3.0, None, None)}
+
+
+def test_unreadable_work_is_an_error(spark, tmp_path):
+    from papercorpus.sources.readers import read_works
+
+    (tmp_path / "works.jsonl").write_text('{"id": "W1"}\n{"id": "W2", "ti\n')
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        read_works(spark, str(tmp_path)).collect()
+    assert read_works(spark, str(tmp_path), mode="DROPMALFORMED").count() == 1
+
+
+def test_arrays_in_csv_splits(spark, tmp_path):
+    from papercorpus.sources.readers import read_splits
+    from papercorpus.sources.writers import write_splits
+
+    rows = [("1", "t", "a", ["x", "y"], s) for s in ("train", "val", "test")]
+    papers = spark.createDataFrame(rows, "id string, title string, abstract string, topics array<string>, split string")
+    write_splits(papers, str(tmp_path), "csv")
+    back = read_splits(spark, f"{tmp_path}/splits", "csv", multi_line=False)
+    assert {r["topics"] for r in back.collect()} == {'["x","y"]'}

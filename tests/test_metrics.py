@@ -203,3 +203,11 @@ def test_bootstrap_surrounds_the_mean(spark):
     assert 4.2 < got["low"] < got["median"] < got["high"] < 4.8
     again = overlap.bootstrap(df.repartition(5), "v", ["g"], "id", replicates=60).first()
     assert again == got
+
+
+def test_scorecard_keeps_null_groups(spark):
+    from papercorpus.operators.quality import quality_scorecard
+
+    rows = spark.createDataFrame([("a", "x y", "x y", "x"), (None, "x y", "x y", "x")],
+                                 "run string, prediction string, reference string, abstract string")
+    assert {r["run"] for r in quality_scorecard(rows, ["run"]).collect()} == {"a", None}

@@ -101,3 +101,18 @@ def test_attached_predictions(spark):
     preds = spark.createDataFrame([("1", "x")], "id string, predicted_title string")
     got = {r["id"]: r["predicted_title"] for r in scoring.attach_predictions(papers, preds).collect()}
     assert got["1"] == "x" and got["2"] is None and len(got) == 10
+
+
+def test_answers_once_given_are_kept():
+    from papercorpus.operators.scoring import _answer
+
+    asked = []
+
+    def model(prompts):
+        asked.append(len(prompts))
+        if len(prompts) > 2:
+            raise RuntimeError("too many")
+        return [p.upper() for p in prompts]
+
+    assert _answer(model, list("abcdefgh"), 2, 0.0) == list("ABCDEFGH")
+    assert asked == [8, 4, 2, 2, 2, 2]
