@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import ship_package
+from .scratch import Scratch
 from .words import U64, Texts, as_bytes, mix64, owner, powers, runs
 
 WIDE, PLACES, RUN = 16, 256, 3
@@ -109,7 +110,9 @@ def with_successor(docs: DataFrame, make, schema: str, block: int = BLOCK) -> Da
     """``make(ids, texts, next_texts)`` of every row of ``docs`` (doc_id, text), block by block.
 
     Blocks are ranges of ``block`` ids; the first document of a block is also sent to the
-    block before it, so texts move once. The next of the last block is the first (by
+    block before it, so texts move once. The table of blocks, one narrow row each, is
+    stored first, so Spark knows its size and broadcasts it only below its threshold;
+    beyond that the texts move twice. The next of the last block is the first (by
     block numbers, of which there is one row per block: two windows, over blocks of
     blocks and over their ends, so that no task holds them all). The next of a row is the
     document of the next larger id; of rows that share an id, the smallest text stands
@@ -124,12 +127,11 @@ def with_successor(docs: DataFrame, make, schema: str, block: int = BLOCK) -> Da
     ends = placed.groupBy("outer").agg(F.max("block").alias("last"))
     across = ends.select("outer", F.lag("last").over(Window.orderBy("outer")).alias("before"))
     final = ends.agg(F.max("last").alias("final"))
-    before = placed.join(across, "outer").crossJoin(final).select(  # one row
-        "block", "least", F.coalesce("prior", "before", "final").alias("prior"))
+    before = Scratch(docs.sparkSession).store(placed.join(across, "outer").crossJoin(final).select(  # one row
+        F.col("block").alias("own"), "least", F.coalesce("prior", "before", "final").alias("prior")), "blocks")
     keyed = docs.select(at.alias("block"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     heads = keyed.withColumn("id", F.coalesce("doc_id", F.lit(-(2**62)))).join(
-        before.select(F.col("block").alias("own"), "least", "prior"),
-        (F.col("block") == F.col("own")) & (F.col("id") == F.col("least")))
+        before, (F.col("block") == F.col("own")) & (F.col("id") == F.col("least")))
     # of rows that share the first id, the smallest text is enough
     heads = heads.groupBy("prior").agg(F.min("text").alias("text")).select(
         F.col("prior").alias("block"), F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(True).alias("head"))
