@@ -3,9 +3,10 @@
 Two permutations of the 2^32 shingle numbers make all signature coordinates: the first
 scatters a document's shingles once, the second is read at positions shifted round the
 circle by the number of the coordinate. Six coordinates make a band, 32 bands in all: a
-pair at 0.85 shares no band with a chance of about 3e-7, at 0.8 of 6e-5. One bit of each
-coordinate is kept too: of these 192 bits a pair at s differs in about 96 * (1 - s), and
-pairs are passed over only beyond six standard deviations of that (a chance of 1e-9).
+pair at 0.85 shares no band with a chance of about 3e-7, at 0.8 of 6e-5. For sets that are
+still to be told apart (step 3) one bit of each of 2,048 coordinates is made: a pair at s
+differs in about 1,024 * (1 - s) of them, and pairs are passed over only beyond six standard
+deviations of that (a chance of 1e-9).
 
 Links are found without writing out all pairs of a bucket:
 
@@ -41,7 +42,8 @@ from .words import U64, Texts, as_bytes, mix64, runs, windows
 ROWS, BANDS = 6, 32
 SHINGLE, PERCENT = 5, 80
 U32 = np.uint32
-BITS = ["bits_0", "bits_1", "bits_2"]
+FINE = 2048
+BITS = [f"bits_{k}" for k in range(FINE // 64)]
 
 
 def permuted(x: np.ndarray, salt: int) -> np.ndarray:
@@ -83,7 +85,7 @@ def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
 def _described(shingle: int):
     def described(texts: pa.Array) -> pa.Array:
         rows = as_bytes(texts)
-        sizes, ones, twos, bands, bits = [], [], [], [], []
+        sizes, ones, twos, bands = [], [], [], []
         salts = mix64(np.arange(1, BANDS + 1, dtype=U64))
         for a, b in runs(rows):
             sets = shingle_sets(rows[a:b], shingle)
@@ -97,8 +99,6 @@ def _described(shingle: int):
                 for k in range(ROWS):
                     rolled = mix64(rolled + signature[:, k::ROWS].astype(U64))
                 keys = iter(rolled.view(np.int64))
-                low = np.packbits((signature & U32(1)).astype(np.uint8), axis=1)
-                sketch = iter(np.ascontiguousarray(low).view(np.int64).tolist())
                 one = iter(np.add.reduceat(flat, first).view(np.int64))
                 two = iter(np.add.reduceat(mix64(flat), first).view(np.int64))
             for s in sets:
@@ -106,15 +106,12 @@ def _described(shingle: int):
                 ones.append(int(next(one)) if len(s) else 0)
                 twos.append(int(next(two)) if len(s) else 0)
                 bands.append(next(keys) if len(s) else None)
-                bits.append(next(sketch) if len(s) else [0] * len(BITS))
         return pa.StructArray.from_arrays(
             [pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()),
-             pa.array(bands, pa.list_(pa.int64())),
-             *(pa.array([b[k] for b in bits], pa.int64()) for k in range(len(BITS)))],
-            names=["size", "one", "two", "bands", *BITS])
+             pa.array(bands, pa.list_(pa.int64()))],
+            names=["size", "one", "two", "bands"])
 
-    kinds = "".join(f",{b}:bigint" for b in BITS)
-    return F.arrow_udf(described, f"struct<size:bigint,one:bigint,two:bigint,bands:array<bigint>{kinds}>").asNondeterministic()
+    return F.arrow_udf(described, "struct<size:bigint,one:bigint,two:bigint,bands:array<bigint>>").asNondeterministic()
 
 
 def _sets(shingle: int):
@@ -171,17 +168,21 @@ def _rarest(percent: int):
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, found, early = [], [np.zeros(0, U64)], [np.zeros(0, bool)]
+            bits = np.zeros((batch.num_rows, FINE // 8), np.uint8)
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 u, times = _times(x, y)
                 order = np.argsort(times, kind="stable")  # u is in order, so ties are
                 found.append(u[order][: len(u) + 1 + -percent * len(u) // 100])
                 sizes.append(len(found[-1]))
                 early.append(np.arange(sizes[-1]) <= len(u) + -2 * percent * len(u) // (100 + percent))
+                low = signatures((u >> U64(32)).astype(U32), np.zeros(1, np.int64), FINE) & U32(1)
+                bits[len(sizes) - 1] = np.packbits(low.astype(np.uint8))
             take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node").take(take), batch.column("hub").take(take),
-                 pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(early))],
-                names=["node", "hub", "shingle", "early"])
+                 pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(early)),
+                 *(pa.array(np.ascontiguousarray(b)).take(take) for b in bits.view(np.int64).T)],
+                names=["node", "hub", "shingle", "early", *BITS])
 
     return rarest
 
@@ -213,7 +214,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     kinds = filled.groupBy("size", "one", "two").agg(
         F.min("doc_id").alias("node"), (-F.count("*")).alias("rank"))
-    classes = scratch.store(filled.select("size", "one", "two", "doc_id", "bands", *BITS).join(
+    classes = scratch.store(filled.select("size", "one", "two", "doc_id", "bands").join(
         kinds.withColumnRenamed("node", "doc_id"), ["size", "one", "two", "doc_id"]), "classes")
     members = classes.select(F.col("doc_id").alias("node"), "size", "rank", F.explode("bands").alias("band")).distinct()
     hubs = members.groupBy("band").agg(F.min(F.struct("rank", "node"))["node"].alias("hub"),
@@ -243,7 +244,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # copies in a class, and rows that share an id, are linked without a check
     same = filled.join(kinds, ["size", "one", "two"]).select(
         F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    sketches = classes.select(F.col("doc_id").alias("node"), *BITS).dropDuplicates(["node"])
 
     def still_open(found: DataFrame, label: str) -> DataFrame:
         """Nodes by hub in the buckets that hold two components or more."""
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             "band", "hub", "node", "size", F.coalesce("component", "node").alias("component"))
         bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
             "low < high").select("band")
-        nodes = scratch.store(placed.join(bands, "band", "left_semi").drop("band").distinct().join(sketches, "node"), label)
+        nodes = scratch.store(placed.join(bands, "band", "left_semi").drop("band").distinct(), label)
         scratch.drop(labels)
         return nodes
 
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     links_2 = scratch.store(_checked(second, sets, percent), "links")
     scratch.drop(nodes, central)
     nodes = still_open(links.unionByName(links_2), "open-2")
-    rare = ordered(nodes).mapInArrow(_rarest(percent), "node bigint, hub bigint, shingle bigint, early boolean")
+    rare = ordered(nodes).mapInArrow(_rarest(percent), "node bigint, hub bigint, shingle bigint, early boolean" + "".join(f", {b} bigint" for b in BITS))
     rest = scratch.store(rare.join(nodes, ["node", "hub"]), "open-prefixes")
 
     def side(name: str, of: DataFrame) -> DataFrame:
@@ -279,8 +279,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
                            F.col("node").alias(name))
 
     differing = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITS), F.lit(0))
-    apart = ROWS * BANDS * (1 - percent / 100) / 2
-    near = differing <= apart + 6 * (apart * (1 - apart / (ROWS * BANDS))) ** 0.5
+    apart = FINE * (1 - percent / 100) / 2
+    near = differing <= apart + 6 * (apart * (1 - apart / FINE)) ** 0.5
     smaller = (F.col("size_a") < F.col("size_b")) | (F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b"))
     open_pairs = side("a", rest.filter("early")).join(
         side("b", rest), (F.col("hub_a") == F.col("hub_b")) & (F.col("shingle_a") == F.col("shingle_b")) & smaller
