@@ -57,6 +57,14 @@ def keep_first(df: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFram
     return df.groupBy(*keys).agg(first).select(*keys, "first.*").select(df.columns)
 
 
+def one_of_each(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as it is, once every ``key`` in it is known to stand once; a repeated one is an error."""
+    others = [c for c in df.columns if c != key]
+    row = F.when(F.count("*") > 1, F.raise_error(F.lit(f"{key} is not unique"))).otherwise(
+        F.first(F.struct(*others)))
+    return df.groupBy(key).agg(row.alias("row")).select(key, "row.*")
+
+
 def with_content(papers: DataFrame) -> DataFrame:
     """Add ``content``, a SHA-256 of title and abstract that stands for both.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import jaccard, tagged, tagged_ngrams
 from ..functions.text import strip, word_count, words
 from ..functions.vectors import cosine
+from .cleaning import one_of_each
 
 # Names of the metrics, and the score that marks a failure.
 FAILED = -1.0
@@ -123,5 +124,5 @@ def quality_scorecard(
 
 
 def attach_vectors(rows: DataFrame, vectors: DataFrame, on: str = "id") -> DataFrame:
-    """Add supplied sentence vectors; rows without one keep a null."""
-    return rows.join(vectors, on, "left")
+    """Add supplied sentence vectors; rows without one keep a null, a repeated key is an error."""
+    return rows.join(one_of_each(vectors, on), on, "left")

@@ -10,7 +10,8 @@ still belongs to its first ``quota`` rows:
 3. only the rows of that one prefix are ranked (1 in 65,536 of a stratum).
 
 Membership is then a comparison with the cut point, so the wide rows are
-filtered or labelled where they are and never shuffled.  The narrow columns are
+filtered or labelled where they are.  They are shuffled only where the cut points of
+the strata are too many to be broadcast.  The narrow columns are
 read twice per cut, so large inputs should be stored tables.
 """
 
@@ -27,7 +28,6 @@ from ..sources.shared import stored
 NA_STRATUM = "__NA__"  # fixed value: stratum of rows without one
 PREFIX_DIGITS = 4
 AFTER_ALL = "~"  # sorts behind every hex digit
-TOP_ROWS = 10_000  # up to here a sample is a plain top-k
 
 
 class Cut(NamedTuple):
@@ -57,11 +57,19 @@ def stratify_gate(strata: DataFrame) -> DataFrame:
 
 
 def seeded_order(seed: int, salt: str, key: Column) -> Column:
-    """Order key: seeded hash, then the key itself."""
-    text = key.cast("string")
+    """Order key: seeded hash, then the key itself.  A null key is an error."""
+    text = F.coalesce(key.cast("string"), F.raise_error(F.lit("null key: rows cannot be put in order")))
     return F.concat(F.md5(F.concat(F.lit(f"{seed}:{salt}:"), text)), F.lit(":"), text)
 
 
+def default_key(df: DataFrame) -> Column:
+    """The ``row_key`` made by ``prepare`` if it is there, or else the id."""
+    for name in ("row_key", "id"):
+        if name in df.columns:
+            return F.col(name)
+    raise ValueError("no row_key or id column: name a unique key")
+
+
 def stratum_quotas(strata: DataFrame, draws: int, seed: int) -> DataFrame:
     """Share ``draws`` rows out in proportion to the stratum sizes.
 
@@ -148,9 +156,12 @@ def _cut_points(rows: DataFrame, histogram: DataFrame, quotas: DataFrame) -> Dat
     inside = rows.withColumn("prefix", _prefix(F.col("order"))).join(
         contested, ["stratum", "prefix"]
     )
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy("order"))
-    last = inside.withColumn("place", place).filter("place = take").select(
-        "stratum", F.col("order").alias("last")
+    ranks = Window.partitionBy("stratum").orderBy("order")
+    tied = F.raise_error(F.lit("the key is not unique: rows tie at a cut"))
+    last = (
+        inside.withColumns({"place": F.row_number().over(ranks), "next": F.lead("order").over(ranks)})
+        .filter("place = take")
+        .select("stratum", F.when(F.col("next") == F.col("order"), tied).otherwise(F.col("order")).alias("last"))
     )
     point = (
         F.when(F.col("quota") == 0, F.lit(""))
@@ -217,11 +228,12 @@ def split_rows(
     """Add a ``split`` column: train against the rest, then val against test.
 
     Sizes and stratum quotas are exact.  The stratification gate is tested again
-    on the rest.  ``key`` (default: id) must be unique.  Finding the cut points
-    runs a few jobs over the narrow columns; the labelling itself is lazy.
+    on the rest.  ``key`` (default: row_key, or else id) must be unique: a null key
+    and rows that tie at a cut are errors.  Finding the cut points runs a few jobs
+    over the narrow columns; the labelling itself is lazy.
     """
     check_fractions(train, val, test)
-    key = F.col("id") if key is None else key
+    key = default_key(df) if key is None else key
     first = fraction_cut(df, train, seed, "train", key, stratify)
     labelled = label_cut(df, first, "_train")
     rest = labelled.filter(~F.col("_train"))
@@ -242,25 +254,18 @@ def sample_rows(
 ) -> DataFrame:
     """Seeded sample of min(n, rows) rows, of each ``by`` group if given.
 
-    A small sample of a whole table is a top-k.  Otherwise the cut point of every
-    group is found on narrow columns, for small ``n`` by ranking rows with the
-    ranks cut off before the shuffle, and the rows are filtered where they are.
+    The cut point of every group is found on narrow columns, for any ``n`` in the
+    same way, and the rows are filtered where they are.  ``key`` must be unique, as
+    for ``split_rows``.
     """
     order = seeded_order(seed, salt, key)
     if n <= 0:
         return df.limit(0)
-    if n <= TOP_ROWS and by is None:
-        return df.orderBy(order).limit(n)
     group = None if by is None else stratum_of(by)
     rows = _narrow(df, group, order)
-    if n <= TOP_ROWS:
-        place = F.row_number().over(Window.partitionBy("stratum").orderBy("order"))
-        first = rows.withColumn("place", place).filter(F.col("place") <= n)
-        points = stored(first.groupBy("stratum").agg(F.max("order").alias("point")), "points")
-    else:
-        histogram = _histogram(rows)
-        quotas = _sizes(histogram).withColumn("quota", F.least("size", F.lit(n)))
-        points = _cut_points(rows, histogram, quotas)
+    histogram = _histogram(rows)
+    quotas = _sizes(histogram).withColumn("quota", F.least("size", F.lit(n).cast("long")))
+    points = _cut_points(rows, histogram, quotas)
     if by is None:
         found = points.first()
         points = found["point"] if found else ""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import INSTRUCTION, example_lines, title_prompt
 from ..functions.text import clean_title
+from .cleaning import one_of_each
 from .sampling import sample_rows, seeded_order
 
 Predictor = Callable[[list[str]], list[str]]
@@ -119,8 +120,11 @@ def predict_titles(
 
 
 def attach_predictions(papers: DataFrame, predictions: DataFrame, on: str = "id") -> DataFrame:
-    """Add predictions made elsewhere to their source rows."""
-    return papers.join(predictions.select(on, "predicted_title"), on, "left")
+    """Add predictions made elsewhere to their source rows, one row each.
+
+    Two predictions for one key are an error, so no source row is ever multiplied.
+    """
+    return papers.join(one_of_each(predictions.select(on, "predicted_title"), on), on, "left")
 
 
 def batched_map(

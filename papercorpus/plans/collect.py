@@ -18,16 +18,19 @@ def collect(
     keep_empty: bool = False,
     **selection,
 ) -> DataFrame:
-    """Papers from landed works; ``selection`` as for ``works_predicate``."""
+    """Papers from landed works; ``selection`` as for ``works_predicate``.
+
+    ``seq``, the place of a work in its files, stays: ``prepare`` wants it.
+    """
     works = read_works(spark, path).filter(works_predicate(**selection))
-    return normalise_works(cap_and_deduplicate(works, max_results), keep_empty)
+    return normalise_works(cap_and_deduplicate(works, max_results), keep_empty, carry=["seq"])
 
 
 def collect_to(
     spark: SparkSession, path: str, root: str, query: str, stamp: str,
     max_results: int | None = None, keep_empty: bool = False, **selection,
 ) -> str:
-    papers = collect(spark, path, max_results, keep_empty, **selection)
+    papers = collect(spark, path, max_results, keep_empty, **selection).drop("seq")
     return write_collection(
         papers, root, query, stamp, filter_text(**selection), max_results, keep_empty
     )

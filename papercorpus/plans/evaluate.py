@@ -11,7 +11,7 @@ from ..functions.prompts import INSTRUCTION, mode_label
 from ..operators.overlap import text_metrics
 from ..operators.quality import quality_scorecard
 from ..operators.reporting import metric_long_table
-from ..operators.sampling import evaluation_cap
+from ..operators.sampling import default_key, evaluation_cap
 from ..operators.scoring import Predictor, example_block, few_shot_examples, predict_titles
 from ..sources.shared import stored
 
@@ -20,7 +20,7 @@ def predict_splits(
     papers: DataFrame,
     make_predictor: Callable[[], Predictor],
     splits: Sequence[str] = ("val", "test"),
-    key: str = "id",
+    key: str | None = None,
     num_shots: int = 0,
     seed: int = 42,
     few_shot_seed: int | None = None,
@@ -32,6 +32,7 @@ def predict_splits(
 ) -> DataFrame:
     """Predictions for the chosen splits as a stored table.
 
+    ``key`` names a unique column (default: row_key, or else id).
     The rows are dealt out evenly to ``partitions`` tasks (default: one per core,
     0: as they lie), since a prediction costs far more than moving its row.
 
@@ -39,7 +40,8 @@ def predict_splits(
     predictor is by far the most expensive step.
     """
     chosen = papers.filter(F.col("split").isin(list(splits)))
-    chosen = evaluation_cap(chosen, max_rows, seed, F.col(key))
+    by_key = F.col(key) if key else default_key(papers)
+    chosen = evaluation_cap(chosen, max_rows, seed, by_key)
     if partitions is None:
         partitions = papers.sparkSession.sparkContext.defaultParallelism
     if partitions:
@@ -48,7 +50,7 @@ def predict_splits(
     if num_shots > 0:
         train = papers.filter(F.col("split") == "train")
         shot_seed = seed if few_shot_seed is None else few_shot_seed
-        block = example_block(few_shot_examples(train, num_shots, shot_seed, F.col(key)))
+        block = example_block(few_shot_examples(train, num_shots, shot_seed, by_key))
     predicted = predict_titles(chosen, make_predictor, instruction, block, max_words, **options)
     return stored(predicted.withColumn("mode", F.lit(mode_label(num_shots))), "predictions")
 

@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType
 
 from ..functions.text import slug
 from ..operators.canonical import CANONICAL
-from ..operators.sampling import sample_rows
+from ..operators.sampling import default_key, sample_rows
 
 HUMAN_SAMPLE = 100  # fixed value: size of the human-evaluation sample
 
@@ -128,8 +128,8 @@ def write_outputs(
     write_by_split(generated_titles(predictions), f"{run_folder}/generated_titles", fmt)
     sheet = human_sheet(predictions, model, mode)
     write_by_split(sheet, f"{run_folder}/human_eval", fmt)
-    sample = sample_rows(sheet, HUMAN_SAMPLE, seed, "human", F.col("id"), by="split")
-    write_by_split(sample, f"{run_folder}/human_eval_sample", fmt)
+    sample = sample_rows(predictions, HUMAN_SAMPLE, seed, "human", default_key(predictions), by="split")
+    write_by_split(human_sheet(sample, model, mode), f"{run_folder}/human_eval_sample", fmt)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

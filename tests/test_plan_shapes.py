@@ -44,9 +44,9 @@ def test_first_rows_are_merged_before_the_shuffle(papers):
 
 
 def test_samples_filter_the_rows_in_place(papers):
-    shown = plan(sampling.sample_rows(papers, 5, 1, "x", F.col("id"), "primary_topic"))
-    assert "Exchange hashpartitioning" not in shown
-    assert "TakeOrderedAndProject" in plan(sampling.sample_rows(papers, 5, 1, "x", F.col("id")))
+    for n, by in ((5, "primary_topic"), (5, None), (1_001, None), (10_000, "primary_topic")):
+        shown = plan(sampling.sample_rows(papers, n, 1, "x", F.col("id"), by))
+        assert "Exchange hashpartitioning" not in shown and "TakeOrdered" not in shown
 
 
 def test_metrics_shuffle_sums_only(papers):

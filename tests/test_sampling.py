@@ -121,17 +121,32 @@ def test_fractions_must_sum_to_one(spark):
         sampling.split_rows(spark.range(1), 0.7, 0.2, 0.2)
 
 
-def test_sample_by_cut_point_equals_top_k(spark, monkeypatch):
+def test_sample_by_cut_point_equals_top_k(spark):
     df = skewed(spark)
-    plain = [sampling.sample_rows(df, 50, 7, "x", F.col("id"), by).collect() for by in (None, "topic")]
-    monkeypatch.setattr(sampling, "TOP_ROWS", 0)
-    for by, expected in zip((None, "topic"), plain):
+    order = sampling.seeded_order(7, "x", F.col("id"))
+    everything = [(r["id"], r["topic"]) for r in df.orderBy(order).collect()]
+    by_topic = Counter()
+    expected = [by_topic.update([t]) or (i, t) for i, t in everything if by_topic[t] < 50]
+    for by, rows in ((None, everything[:50]), ("topic", expected)):
         got = sampling.sample_rows(df, 50, 7, "x", F.col("id"), by).collect()
-        assert sorted(got, key=str) == sorted(expected, key=str)
+        assert sorted(map(tuple, got), key=str) == sorted(rows, key=str)
     assert sampling.sample_rows(df, 9_999, 7, "x", F.col("id")).count() == 3_000
     assert sampling.sample_rows(df, 0, 7, "x", F.col("id")).count() == 0
 
 
+def test_keys_must_be_there_and_unique(spark):
+    blank = spark.range(200).selectExpr("'' as id", "'a' as split", "cast(id as string) as row_key")
+    assert sampling.sample_rows(blank, 5, 1, "x", sampling.default_key(blank), "split").count() == 5
+    assert Counter(r["split"] for r in sampling.split_rows(blank, stratify=None).collect()) == {
+        "train": 160, "val": 20, "test": 20}
+    with pytest.raises(Exception, match="not unique"):
+        sampling.sample_rows(blank, 5, 1, "x", F.col("id"), "split").count()
+    with pytest.raises(Exception, match="null key"):
+        sampling.split_rows(blank.selectExpr("nullif(id, '') as id"), stratify=None).count()
+    with pytest.raises(ValueError, match="unique key"):
+        sampling.default_key(blank.select("split"))
+
+
 def test_evaluation_cap_of_zero_keeps_all(spark):
     df = skewed(spark).withColumn("split", F.lit("val"))
     assert sampling.evaluation_cap(df, 0, 1, F.col("id")) is df

@@ -116,3 +116,11 @@ def test_answers_once_given_are_kept():
 
     assert _answer(model, list("abcdefgh"), 2, 0.0) == list("ABCDEFGH")
     assert asked == [8, 4, 2, 2, 2, 2]
+
+
+def test_a_repeated_prediction_is_an_error(spark):
+    papers = spark.createDataFrame([("", "t"), ("", "u")], "id string, title string")
+    one = spark.createDataFrame([("", "p")], "id string, predicted_title string")
+    assert scoring.attach_predictions(papers, one).count() == 2
+    with pytest.raises(Exception, match="not unique"):
+        scoring.attach_predictions(papers, one.unionByName(one)).collect()
