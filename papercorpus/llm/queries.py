@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import ship_package
-from . import chat, context_mixing, fingerprints, line_dedup, mixing, near_duplicates, packing, personal_data, quality_rules, sharding
+from . import (
+    chat, context_mixing, fingerprints, hard_negatives, line_dedup, mixing, near_duplicates, nearest, oracles, packing, periodic_runs,
+    personal_data, quality_rules, sharding,
+)
 from .words import runs
 
 
@@ -103,6 +106,35 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, folder)).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector."""
+    rows = hard_negatives.whole_numbers(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.withColumn("label", moved)
+    return hard_negatives.mine(rows, rows.filter("vec_id % 100 = 0"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    rows = nearest.usable_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return nearest.nearest(rows, rows.filter("vec_id % 20 = 0"), k=20)
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words of every document, some tails made periodic first."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    found = periodic_runs.collapse_runs(docs.withColumn("text", periodic_runs.repeat_tails("doc_id", "text")))
+    runs_ = F.col("periodic.runs")
+    line = F.transform(runs_, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(line, "\n"), F.when(F.size(runs_) > 0, "\n").otherwise(""))
+    top = F.array_max(F.transform(runs_, lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    return found.select("doc_id", F.size(runs_).cast("long").alias("n_runs"), top.alias("top"), listed.alias("listed"),
+                        F.col("periodic.collapsed").alias("collapsed")).select(
+        "doc_id", "n_runs", (-F.col("top.col2")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.col3")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.col3")).alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,7 +142,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_context_mixing, op2_sharding, op3_personal_data, op4_quality_rules, op5_best_fit_packing, op6_chat_formatting, op7_fingerprints, op8_mixing, op9_near_duplicates, op10_line_dedup, pipeline)}
+    op1_context_mixing, op2_sharding, op3_personal_data, op4_quality_rules, op5_best_fit_packing, op6_chat_formatting, op7_fingerprints, op8_mixing, op9_near_duplicates, op10_line_dedup,
+    op11_hard_negatives, op12_nearest_neighbours, op13_periodic_runs, pipeline)}
 
 #: Name -> SQL of the same result; where SQL cannot express a query, tests compare it with brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
