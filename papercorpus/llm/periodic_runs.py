@@ -192,7 +192,7 @@ def word_runs(words: np.ndarray, first: np.ndarray, least: int = MIN_LENGTH) ->
 
 def _analysed(least: int):
     def analysed(texts: pa.Array) -> pa.Array:
-        rows = as_bytes(texts)
+        rows = as_bytes(texts.cast(pa.binary()))
         counts, found, collapsed = [], [np.zeros((0, 4), np.int64)], []
         for a, b in runs(rows):
             t = Texts(rows[a:b])
@@ -230,7 +230,7 @@ def periodic_runs(text: str | Column = "text", least: int = MIN_LENGTH) -> Colum
     have no words, no runs and an empty collapsed text. Texts of any length are taken whole.
     """
     column = F.col(text) if isinstance(text, str) else text
-    return _analysed(least)(column.cast("binary"))
+    return _analysed(least)(column)
 
 
 def collapse_runs(docs: DataFrame, text: str = "text", result: str = "periodic", least: int = MIN_LENGTH) -> DataFrame:

@@ -123,7 +123,8 @@ def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Periodic runs of words of every document, some tails made periodic first."""
     docs = documents(spark, folder).select("doc_id", "text")
-    found = periodic_runs.collapse_runs(docs.withColumn("text", periodic_runs.repeat_tails("doc_id", "text")))
+    ship_package(spark)
+    found = docs.select("doc_id", periodic_runs.periodic_runs(periodic_runs.repeat_tails("doc_id", "text")).alias("periodic"))
     runs_ = F.col("periodic.runs")
     line = F.transform(runs_, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
     listed = F.concat(F.array_join(line, "\n"), F.when(F.size(runs_) > 0, "\n").otherwise(""))
