@@ -389,7 +389,7 @@ def text_strip(spark, folder):
 
 @query
 def abstract_rebuild(spark, folder):
-    index = inputs.word_index(documents(spark, folder))
+    index = documents(spark, folder).select("doc_id", inputs.word_index(F.col("text")).alias("index"))
     return index.select("doc_id", work_text.rebuild_abstract(F.col("index")).alias("abstract"))
 
 

@@ -69,16 +69,24 @@ def capitalised_papers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def word_index(documents: DataFrame) -> DataFrame:
-    """Word -> positions map of every document."""
-    words = F.split(collapse(F.col("text")), " ")
-    return (
-        documents.select("doc_id", F.posexplode(words).alias("position", "word"))
-        .groupBy("doc_id", "word")
-        .agg(F.collect_list("position").alias("positions"))
-        .groupBy("doc_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("index"))
-    )
+def word_index(text: Column) -> Column:
+    """Word -> positions map of a text: its places sorted by word, cut where the word changes."""
+    words = F.split(collapse(text), " ")
+    places = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("position"))))
+
+    def begins(e: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(e)),
+                        lambda k: (k == 1) | (F.get(e, k - 1)["word"] != F.get(e, k - 2)["word"]))
+
+    def entries(e: Column, heads: Column) -> Column:
+        def entry(head: Column, j: Column) -> Column:
+            size = F.coalesce(F.get(heads, j + 1), F.size(e) + 1) - head
+            return F.struct(F.get(e, head - 1)["word"], F.transform(F.slice(e, head, size), lambda x: x["position"]))
+
+        return F.map_from_entries(F.transform(heads, entry))
+
+    # arrays of one element: each step is bound once, not written out into the next
+    return F.transform(F.array(places), lambda e: F.transform(F.array(begins(e)), lambda heads: entries(e, heads))[0])[0]
 
 
 def works(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,11 +105,11 @@ def works(spark: SparkSession, folder: str) -> DataFrame:
 
     named_source = F.when(~every(19), F.col("source"))
     topics = F.array(entry(F.col("source"), named_source), entry(F.col("lang"), F.col("lang")))
-    return documents.join(word_index(documents), "doc_id").select(
+    return documents.select(
         F.when(every(89, 7), F.lit("")).when(~every(97, 13), link).alias("id"),
         F.when(every(13), F.lit("")).when(~every(11), first_line()).alias("title"),
         first_line().alias("display_name"),
-        F.when(~every(23), F.col("index")).alias("abstract_inverted_index"),
+        F.when(~every(23), word_index(F.col("text"))).alias("abstract_inverted_index"),
         (F.col("doc_id") % 25 + 2000).cast("int").alias("publication_year"),
         F.date_add(F.lit("2019-01-01").cast("date"), (F.col("doc_id") % 2500).cast("int")).alias(
             "publication_date"

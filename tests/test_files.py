@@ -108,7 +108,8 @@ def landed(tmp_path):
 
 def test_collect(spark, landed):
     got = collect(spark, landed, **SELECTION).collect()
-    assert [r.asDict() for r in got] == [{
+    assert [r["seq"]["file"].rpartition("/")[2] for r in got] == ["works.json"]  # the place stays, for prepare()
+    assert [{k: v for k, v in r.asDict().items() if k != "seq"} for r in got] == [{
         "id": "W1", "title": "One", "abstract": "b a", "publication_year": 2020, "topics": ["NLP"],
         "primary_topic": "NLP"}]
     kept = {r["id"]: r for r in collect(spark, landed, keep_empty=True, **SELECTION).collect()}
