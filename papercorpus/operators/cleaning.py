@@ -37,12 +37,18 @@ def blank_id() -> Column:
     return F.trim(F.coalesce(F.col("id"), F.lit(""))) == ""
 
 
-def ids_filled(papers: DataFrame) -> bool:
-    """Whether every row has a non-blank id, which opens the dedup by id.
+def id_gates(papers: DataFrame, by: str | None = None) -> DataFrame:
+    """(table, filled): whether every row of a table has a non-blank id, which opens its dedup by id.
 
-    Reads the id column of a stored table only, and stops at the first blank.
+    One row per value of ``by`` (null is a value of its own), or one for all. Part of the
+    plan: an aggregate of the id column, merged before the shuffle.
     """
-    return papers.filter(blank_id()).select(F.lit(1)).limit(1).isEmpty()
+    return papers.groupBy(table_of(by).alias("table")).agg(F.min(~blank_id()).alias("filled"))
+
+
+def table_of(by: str | None) -> Column:
+    """Name of the table that a row belongs to."""
+    return F.lit("") if by is None else F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
@@ -74,30 +80,45 @@ def with_content(papers: DataFrame) -> DataFrame:
     return papers.withColumn("content", F.sha2(joined, 256))
 
 
-def repeats(papers: DataFrame, by_id: bool, seq: str = "seq") -> DataFrame:
-    """The ``seq`` of every row that repeats an earlier one, as a stored table.
+def repeats(papers: DataFrame, gates: DataFrame, seq: str = "seq", by: str | None = None) -> DataFrame:
+    """The ``seq`` of every row that repeats an earlier one of its table, as a stored table.
 
-    First repeated ids go (if ``by_id``), then repeated contents among the rest.
+    First repeated ids go (where the table's gate is open), then repeated contents among the rest.
     Everything is decided on id, content hash and ``seq``; no text is shuffled.
     """
-    marks = papers.select("id", "content", seq)
-    first = keep_first(marks, ["id"], seq) if by_id else marks
-    kept = first.groupBy("content").agg(F.min(seq).alias(seq))
+    marks = papers.select(table_of(by).alias("table"), "id", "content", seq)
+    # in a table whose gate is closed every row is its own
+    own = F.struct(F.when(F.col("filled"), F.col("id")).alias("id"), F.when(~F.col("filled"), F.col(seq)).alias("seq"))
+    keyed = marks.join(gates, "table").withColumn("own", own)
+    first = keyed.groupBy("table", "own").agg(F.min_by(F.struct("content", seq), F.col(seq)).alias("first"))
+    kept = first.groupBy("table", "first.content").agg(F.min(f"first.{seq}").alias(seq))
     return stored(marks.select(seq).join(kept, seq, "left_anti"), "repeats")
 
 
-def deduplicate(papers: DataFrame, by_id: bool, seq: str = "seq") -> DataFrame:
-    """Keep the first paper per id (if ``by_id``), then per title and abstract.
+def deduplicate(papers: DataFrame, seq: str = "seq", by: str | None = None) -> DataFrame:
+    """Keep the first paper per id (if every id of the table is there), then per title and abstract.
 
-    ``papers`` comes from ``with_content`` and should be stored: its narrow
-    columns are read before the texts.  The repeats are taken out by an
-    anti-join on ``seq``.  Their table has a measured size: small ones are
+    Adds ``row_key``, unique afterwards: the id, or the content hash where the table has blank ids.
+    With ``by`` the rows of each of its values are a table of their own, with its own gate, and
+    ``row_key`` begins with it. ``papers`` comes from ``with_content`` and should be
+    stored: its narrow columns are read before the texts.  The repeats are taken out by an
+    anti-join on ``seq``, which must be unique.  Their table has a measured size: small ones are
     broadcast, so the texts do not move at all; large ones cost one shuffle of
     the texts, by a key without hot values.
     """
-    return papers.join(repeats(papers, by_id, seq), seq, "left_anti")
+    gates = stored(id_gates(papers, by), "id-gates")
+    kept = papers.join(repeats(papers, gates, seq, by), seq, "left_anti")
+    gates = gates.withColumnsRenamed({"table": "_table", "filled": "_filled"})
+    key = F.when(F.col("_filled"), F.col("id")).otherwise(F.col("content"))
+    named = key if by is None else F.concat_ws(UNIT_SEPARATOR, "_table", key)
+    return kept.join(gates, table_of(by) == F.col("_table")).withColumn("row_key", named).drop("_table", "_filled")
 
 
-def row_key(by_id: bool) -> Column:
-    """Key that is unique after ``deduplicate``: the id, or else the content."""
-    return F.col("id" if by_id else "content")
+def first_of_contents(papers: DataFrame, seq: str = "seq") -> DataFrame:
+    """Keep the first paper per title and abstract, deciding on the content hash.
+
+    ``papers`` comes from ``with_content`` and should be stored.
+    """
+    kept = papers.groupBy("content").agg(F.min(seq).alias(seq))
+    later = stored(papers.select(seq).join(kept, seq, "left_anti"), "repeats")
+    return papers.join(later, seq, "left_anti")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.works import (
     display_names, primary_name, rebuild_abstract, short_id, work_title,
 )
+from ..sources.shared import stored
 from .cleaning import keep_first
 
 
@@ -56,6 +57,24 @@ def with_id(works: DataFrame) -> DataFrame:
     return works.filter(F.col("id") != "")
 
 
+def first_rows(df: DataFrame, n: int, seq: str = "seq") -> DataFrame:
+    """The first ``n`` rows by ``seq``, which must be unique and not null.
+
+    The narrow order column is dealt into ranges and stored; counts of the ranges tell in
+    which one the n-th row lies, and only that range is ranked. The rows are then
+    compared with the n-th one's order where they are, so no task gathers ``n`` rows.
+    """
+    if n <= 0:
+        return df.limit(0)
+    ranges = stored(df.select(F.col(seq).alias("at")).repartitionByRange("at").withColumn("range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = ranges.groupBy("range").agg(F.count("*").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    edge = sizes.filter((F.col("before") < n) & (F.col("before") + F.col("rows") >= n)).select("range", "before")
+    ranked = ranges.join(edge, "range").withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("at")))
+    last = stored(ranked.filter(F.col("place") + F.col("before") == n).select("at"), "last-row")
+    return df.filter(F.coalesce(F.col(seq) <= last.scalar(), F.lit(True)))  # no n-th row: all of them
+
+
 def cap_and_deduplicate(
     works: DataFrame, max_results: int | None = None, seq: str = "seq"
 ) -> DataFrame:
@@ -64,7 +83,7 @@ def cap_and_deduplicate(
     The cap comes first, so fewer works may remain.
     """
     if max_results is not None:
-        works = works.orderBy(seq).limit(max_results)
+        works = first_rows(works, max_results, seq)
     return keep_first(with_id(works), ["id"], seq)
 
 

@@ -17,7 +17,7 @@ read twice per cut, so large inputs should be stored tables.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,11 +31,12 @@ AFTER_ALL = "~"  # sorts behind every hex digit
 
 
 class Cut(NamedTuple):
-    """Rows of a stratum up to its point; one point for all if ``stratum`` is None."""
+    """Rows of a group and stratum up to its point: (group, stratum, point) in ``points``."""
 
-    stratum: Column | None
+    group: Column
+    stratum: Column
     order: Column
-    points: DataFrame | str
+    points: DataFrame
 
 
 def stratum_of(column: str) -> Column:
@@ -46,10 +47,10 @@ def stratum_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(stratum_of(column).alias("stratum")).agg(F.count("*").alias("size"))
 
 
-def stratify_gate(strata: DataFrame) -> DataFrame:
-    """One row: number of strata, rows, and whether the strata can be kept."""
+def stratify_gate(strata: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (of each ``by`` group): number of strata, rows, and whether the strata can be kept."""
     kept = (F.count("*") >= 2) & (F.min("size") >= 2)
-    return strata.agg(
+    return strata.groupBy(*by).agg(
         F.count("*").alias("strata"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("total"),
         kept.alias("stratify"),
@@ -70,26 +71,30 @@ def default_key(df: DataFrame) -> Column:
     raise ValueError("no row_key or id column: name a unique key")
 
 
-def stratum_quotas(strata: DataFrame, draws: int, seed: int) -> DataFrame:
-    """Share ``draws`` rows out in proportion to the stratum sizes.
+def stratum_quotas(
+    strata: DataFrame, draws: int | Column, seed: int, by: Sequence[str] = ()
+) -> DataFrame:
+    """Share ``draws`` rows out in proportion to the stratum sizes, in each ``by`` group.
 
     Every stratum gets the floor of its share; the rest go to the largest
     remainders, ties in seeded order.  Shares are whole-number arithmetic, and
     depend on the size only, so the remainders are settled on a table with one
     row per *distinct size* (at most sqrt(2 * rows) of them), whatever the
-    number of strata.
+    number of strata.  ``draws`` is a number, or a column with one value per group.
     """
-    everything = Window.partitionBy(F.lit(0))
+    by = list(by)
+    everything = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     wide = "decimal(19,0)"
-    product = F.col("size").cast(wide) * F.lit(draws).cast(wide)
+    strata = strata.withColumn("draws", F.lit(draws) if isinstance(draws, int) else draws)
+    product = F.col("size").cast(wide) * F.col("draws").cast(wide)
     by_remainder = everything.orderBy(F.desc("remainder"), F.desc("size"))
     sizes = (
-        strata.groupBy("size")
+        strata.groupBy(*by, "size", "draws")
         .agg(F.count("*").alias("members"))
         .withColumn("total", F.sum(F.col("size") * F.col("members")).over(everything))
         .withColumn("base", F.floor(product / F.col("total")).cast("long"))
         .withColumn("remainder", product - F.col("base").cast(wide) * F.col("total").cast(wide))
-        .withColumn("extra", F.lit(draws) - F.sum(F.col("base") * F.col("members")).over(everything))
+        .withColumn("extra", F.col("draws") - F.sum(F.col("base") * F.col("members")).over(everything))
         .withColumn(
             "before",
             F.coalesce(
@@ -98,27 +103,27 @@ def stratum_quotas(strata: DataFrame, draws: int, seed: int) -> DataFrame:
             ),
         )
         .withColumn("bonus", F.greatest(F.lit(0), F.least("members", F.col("extra") - F.col("before"))))
-        .select("size", "base", "members", "bonus")
+        .select(*by, "size", "base", "members", "bonus")
     )
-    shares = strata.join(sizes, "size")
+    shares = strata.select(*by, "stratum", "size").join(sizes, [*by, "size"])
     settled = shares.filter("bonus = 0 or bonus = members").select(
-        "stratum", "size", (F.col("base") + (F.col("bonus") > 0).cast("long")).alias("quota")
+        *by, "stratum", "size", (F.col("base") + (F.col("bonus") > 0).cast("long")).alias("quota")
     )
-    # at most one size gets a bonus for some of its strata only
+    # at most one size of a group gets a bonus for some of its strata only
     tie = seeded_order(seed, "tie", F.col("stratum"))
     contested = shares.filter("bonus > 0 and bonus < members").withColumn("prefix", _prefix(tie))
-    before = Window.partitionBy("size").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by, "size").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        contested.groupBy("size", "prefix")
+        contested.groupBy(*by, "size", "prefix")
         .agg(F.count("*").alias("n"))
-        .select("size", "prefix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        .select(*by, "size", "prefix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
-    place = F.col("offset") + F.row_number().over(Window.partitionBy("size", "prefix").orderBy(tie))
+    place = F.col("offset") + F.row_number().over(Window.partitionBy(*by, "size", "prefix").orderBy(tie))
     ranked = (
-        contested.join(offsets, ["size", "prefix"])
+        contested.join(offsets, [*by, "size", "prefix"])
         .withColumn("place", place)
         .select(
-            "stratum", "size",
+            *by, "stratum", "size",
             (F.col("base") + (F.col("place") <= F.col("bonus")).cast("long")).alias("quota"),
         )
     )
@@ -129,86 +134,100 @@ def _prefix(order: Column) -> Column:
     return F.substring(order, 1, PREFIX_DIGITS)
 
 
+CELL = ["group", "stratum"]
+
+
 def _histogram(rows: DataFrame) -> DataFrame:
-    """Rows per stratum and hash prefix, stored: gate, quotas and cuts read it."""
-    counts = rows.groupBy("stratum", _prefix(F.col("order")).alias("prefix")).agg(
+    """Rows per group, stratum and hash prefix, stored: gates, quotas and cuts read it."""
+    counts = rows.groupBy(*CELL, _prefix(F.col("order")).alias("prefix")).agg(
         F.count("*").alias("n")
     )
     return stored(counts, "histogram")
 
 
 def _cut_points(rows: DataFrame, histogram: DataFrame, quotas: DataFrame) -> DataFrame:
-    """The cut point of every stratum, stored."""
-    earlier = Window.partitionBy("stratum").orderBy("prefix").rowsBetween(
+    """(group, stratum, point): the cut point of every group and stratum."""
+    earlier = Window.partitionBy(*CELL).orderBy("prefix").rowsBetween(
         Window.unboundedPreceding, -1
     )
     running = histogram.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     edges = stored(
-        running.join(quotas, "stratum").filter(
+        running.join(quotas, CELL).filter(
             (F.col("before") < F.greatest("quota", F.lit(1)))
             & (F.greatest("quota", F.lit(1)) <= F.col("before") + F.col("n"))
         ),
         "edges",
     )
     contested = edges.filter("quota > 0 and quota < size").select(
-        "stratum", "prefix", (F.col("quota") - F.col("before")).alias("take")
+        *CELL, "prefix", (F.col("quota") - F.col("before")).alias("take")
     )
     inside = rows.withColumn("prefix", _prefix(F.col("order"))).join(
-        contested, ["stratum", "prefix"]
+        contested, [*CELL, "prefix"]
     )
-    ranks = Window.partitionBy("stratum").orderBy("order")
+    ranks = Window.partitionBy(*CELL).orderBy("order")
     tied = F.raise_error(F.lit("the key is not unique: rows tie at a cut"))
     last = (
         inside.withColumns({"place": F.row_number().over(ranks), "next": F.lead("order").over(ranks)})
         .filter("place = take")
-        .select("stratum", F.when(F.col("next") == F.col("order"), tied).otherwise(F.col("order")).alias("last"))
+        .select(*CELL, F.when(F.col("next") == F.col("order"), tied).otherwise(F.col("order")).alias("last"))
     )
     point = (
         F.when(F.col("quota") == 0, F.lit(""))
         .when(F.col("quota") == F.col("size"), F.lit(AFTER_ALL))
         .otherwise(F.col("last"))
     )
-    points = edges.join(last, "stratum", "left").select("stratum", point.alias("point"))
-    return stored(points, "points")
+    return edges.join(last, CELL, "left").select(*CELL, point.alias("point"))
 
 
-def _narrow(df: DataFrame, stratum: Column | None, order: Column) -> DataFrame:
-    label = F.lit("") if stratum is None else stratum
-    return df.select(label.alias("stratum"), order.alias("order"))
+def _sizes(histogram: DataFrame) -> DataFrame:
+    return histogram.groupBy(*CELL).agg(F.sum("n").alias("size"))
 
 
-def _sizes(histogram: DataFrame) -> DataFrame:
-    return histogram.groupBy("stratum").agg(F.sum("n").alias("size"))
+def _keys(by: str | None, stratum: str | None) -> tuple[Column, Column]:
+    return tuple(F.lit("") if c is None else stratum_of(c) for c in (by, stratum))
 
 
 def fraction_cut(
-    df: DataFrame, fraction: float, seed: int, salt: str, key: Column, stratify: str | None
+    df: DataFrame, fraction: float, seed: int, salt: str, key: Column, stratify: str | None,
+    by: str | None = None,
 ) -> Cut:
-    """Cut off the first floor(fraction * rows), stratified when the gate allows it."""
+    """Cut off the first floor(fraction * rows) of each ``by`` group, stratified where its gate allows it.
+
+    Gates are part of the plan: they are aggregates of the histogram, joined back
+    to the strata.  The strata of a group whose gate is closed are cut as one.
+    """
     order = seeded_order(seed, salt, key)
-    column = stratum_of(stratify) if stratify in df.columns else None
-    rows = _narrow(df, column, order)
+    group, column = _keys(by, stratify if stratify in df.columns else None)
+    rows = df.select(group.alias("group"), column.alias("stratum"), order.alias("order"))
     histogram = _histogram(rows)
-    gate = stratify_gate(_sizes(histogram)).first()
-    draws = math.floor(fraction * gate["total"])
-    if column is not None and gate["stratify"]:
-        quotas = stratum_quotas(_sizes(histogram), draws, seed)
-        return Cut(column, order, _cut_points(rows, histogram, quotas))
-    rows = rows.withColumn("stratum", F.lit(""))
-    whole = histogram.groupBy("prefix").agg(F.sum("n").alias("n")).withColumn("stratum", F.lit(""))
-    quotas = _sizes(whole).withColumn("quota", F.lit(draws))
-    point = _cut_points(rows, whole, quotas).first()
-    return Cut(None, order, point["point"] if point else "")
+    sizes = _sizes(histogram)
+    draws = F.floor(F.lit(float(fraction)) * F.col("total")).cast("long")
+    gated = stored(sizes.join(stratify_gate(sizes, ["group"]).withColumn("draws", draws), "group"), "gates")
+
+    # the cell that is cut on its own: a stratum, or the whole group (null)
+    cell = F.when(F.col("stratify"), F.concat(F.lit("="), F.col("stratum"))).otherwise(F.lit(""))
+    cells = gated.withColumn("cell", cell).select(*CELL, "cell")
+    whole = gated.filter("not stratify").select(
+        "group", F.lit("").alias("stratum"), F.col("total").alias("size"), F.col("draws").alias("quota")).distinct()
+    split = stratum_quotas(gated.filter("stratify"), F.col("draws"), seed, ["group"]).select(
+        "group", F.concat(F.lit("="), "stratum").alias("stratum"), "size", "quota")
+
+    def as_cells(table: DataFrame) -> DataFrame:
+        return table.join(cells, CELL).drop("stratum").withColumnRenamed("cell", "stratum")
+
+    merged = as_cells(histogram).groupBy(*CELL, "prefix").agg(F.sum("n").alias("n"))
+    points = _cut_points(as_cells(rows), merged, whole.unionByName(split))
+    of_strata = cells.join(points.withColumnRenamed("stratum", "cell"), ["group", "cell"]).select(*CELL, "point")
+    return Cut(group, column, order, stored(of_strata, "points"))
 
 
 def label_cut(df: DataFrame, cut: Cut, name: str) -> DataFrame:
     """Add a boolean column telling which rows lie before the cut."""
-    if isinstance(cut.points, str):
-        return df.withColumn(name, cut.order <= F.lit(cut.points))
-    points = cut.points.select(F.col("stratum").alias("_stratum"), F.col("point").alias("_point"))
-    joined = df.join(points, cut.stratum == F.col("_stratum"), "left")
+    points = cut.points.select(
+        F.col("group").alias("_group"), F.col("stratum").alias("_stratum"), F.col("point").alias("_point"))
+    joined = df.join(points, (cut.group == F.col("_group")) & (cut.stratum == F.col("_stratum")), "left")
     inside = F.coalesce(cut.order <= F.col("_point"), F.lit(False))
-    return joined.withColumn(name, inside).drop("_stratum", "_point")
+    return joined.withColumn(name, inside).drop("_group", "_stratum", "_point")
 
 
 def check_fractions(train: float, val: float, test: float) -> None:
@@ -224,20 +243,22 @@ def split_rows(
     seed: int = 42,
     key: Column | None = None,
     stratify: str | None = "primary_topic",
+    by: str | None = None,
 ) -> DataFrame:
     """Add a ``split`` column: train against the rest, then val against test.
 
-    Sizes and stratum quotas are exact.  The stratification gate is tested again
-    on the rest.  ``key`` (default: row_key, or else id) must be unique: a null key
+    Sizes and stratum quotas are exact, in each ``by`` group where one is named (many
+    tables in one job).  The stratification gate of a group is tested again
+    on its rest.  ``key`` (default: row_key, or else id) must be unique: a null key
     and rows that tie at a cut are errors.  Finding the cut points runs a few jobs
     over the narrow columns; the labelling itself is lazy.
     """
     check_fractions(train, val, test)
     key = default_key(df) if key is None else key
-    first = fraction_cut(df, train, seed, "train", key, stratify)
+    first = fraction_cut(df, train, seed, "train", key, stratify, by)
     labelled = label_cut(df, first, "_train")
     rest = labelled.filter(~F.col("_train"))
-    second = fraction_cut(rest, val / (val + test), seed, "val", key, stratify)
+    second = fraction_cut(rest, val / (val + test), seed, "val", key, stratify, by)
     split = F.when(F.col("_train"), "train").when(F.col("_val"), "val").otherwise("test")
     return label_cut(labelled, second, "_val").withColumn("split", split).drop("_train", "_val")
 
@@ -261,15 +282,12 @@ def sample_rows(
     order = seeded_order(seed, salt, key)
     if n <= 0:
         return df.limit(0)
-    group = None if by is None else stratum_of(by)
-    rows = _narrow(df, group, order)
+    group, stratum = _keys(by, None)
+    rows = df.select(group.alias("group"), stratum.alias("stratum"), order.alias("order"))
     histogram = _histogram(rows)
     quotas = _sizes(histogram).withColumn("quota", F.least("size", F.lit(n).cast("long")))
-    points = _cut_points(rows, histogram, quotas)
-    if by is None:
-        found = points.first()
-        points = found["point"] if found else ""
-    return label_cut(df, Cut(group, order, points), "_in").filter("_in").drop("_in")
+    points = stored(_cut_points(rows, histogram, quotas), "points")
+    return label_cut(df, Cut(group, stratum, order, points), "_in").filter("_in").drop("_in")
 
 
 def evaluation_cap(df: DataFrame, max_rows: int, seed: int, key: Column) -> DataFrame:

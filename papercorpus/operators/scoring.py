@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.prompts import INSTRUCTION, example_lines, title_prompt
 from ..functions.text import clean_title
 from .cleaning import one_of_each
-from .sampling import sample_rows, seeded_order
+from .sampling import seeded_order
 
 Predictor = Callable[[list[str]], list[str]]
 
@@ -22,15 +22,19 @@ FEW_SHOT_CHARS = 1200  # fixed value: characters of an example's abstract that a
 def few_shot_examples(
     train: DataFrame, num_shots: int, seed: int, key: Column, max_chars: int = FEW_SHOT_CHARS
 ) -> DataFrame:
-    """Seeded sample of train rows as (number, abstract, title)."""
-    order = seeded_order(seed, "shots", key)
-    chosen = sample_rows(train, num_shots, seed, "shots", key).select(
-        order.alias("order"),
+    """Seeded sample of train rows as (number, abstract, title), the same as ``sample_rows`` draws.
+
+    The examples of one prompt are few, so they are a top-k: every task keeps its first
+    ``num_shots`` rows, already cut to what is shown, and one task merges them.
+    """
+    rows = train.select(
+        seeded_order(seed, "shots", key).alias("order"),
         F.substring(F.coalesce("abstract", F.lit("")), 1, max_chars).alias("abstract"),
         F.coalesce("title", F.lit("")).alias("title"),
     )
-    rows = chosen.agg(F.array_sort(F.collect_list(F.struct("order", "abstract", "title"))).alias("r"))
-    return rows.select(F.posexplode("r").alias("number", "row")).select(
+    chosen = rows.orderBy("order").limit(max(num_shots, 0))
+    listed = chosen.agg(F.array_sort(F.collect_list(F.struct("order", "abstract", "title"))).alias("r"))
+    return listed.select(F.posexplode("r").alias("number", "row")).select(
         (F.col("number") + 1).alias("number"), "row.abstract", "row.title"
     )
 

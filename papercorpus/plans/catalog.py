@@ -20,7 +20,7 @@ from ..sources.shared import scratch_path, ship_package, stored
 from . import inputs
 from .collect import collect, collect_to
 from .evaluate import evaluate, predict_splits
-from .prepare import prepare
+from .prepare import prepare, splits_or_prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,9 +197,9 @@ def works_drop_empty_abstract(spark, folder):
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Unstored prediction rows of one run, as written by an evaluation."""
-    return inputs.scored(spark, folder).filter("run = 'lead'").select(
-        "id", "abstract", F.col("reference").alias("title"),
+    """Unstored prediction rows of both runs, as written by an evaluation; the id names the run."""
+    return inputs.scored(spark, folder).select(
+        F.concat_ws("-", "run", "id").alias("id"), "abstract", F.col("reference").alias("title"),
         F.col("prediction").alias("predicted_title"), "split",
     )
 
@@ -216,8 +216,8 @@ def generated_titles(spark, folder):
 
 @query
 def attach_predictions(spark, folder):
-    known = predictions(spark, folder).filter("split = 'val'")
-    papers = inputs.papers(spark, folder).select("id", "title")
+    known = predictions(spark, folder)
+    papers = inputs.papers(spark, folder).select(F.concat(F.lit("lead-"), "id").alias("id"), "title")
     return scoring.attach_predictions(papers, known)
 
 
@@ -242,8 +242,7 @@ def papers_clean_strict(spark, folder):
 
 def deduplicated(papers: DataFrame) -> DataFrame:
     marked = stored(cleaning.with_content(cleaning.clean_papers(papers)), "papers")
-    firsts = cleaning.deduplicate(marked, cleaning.ids_filled(marked))
-    return firsts.select("id", "title", "abstract", "seq")
+    return cleaning.deduplicate(marked).select("id", "title", "abstract", "seq")
 
 
 @query
@@ -258,7 +257,8 @@ def deduplicate_gate_closed(spark, folder):
 
 @query
 def deduplicate_by_content(spark, folder):
-    return cleaning.keep_first(cleaned(spark, folder), ["title", "abstract"])
+    papers = stored(cleaning.with_content(cleaned(spark, folder)), "papers")
+    return cleaning.first_of_contents(papers).drop("content")
 
 
 @query
@@ -273,6 +273,34 @@ def prepare_split_counts(spark, folder):
     return papers.groupBy("split", "primary_topic").agg(F.count("*").alias("rows"))
 
 
+@query
+def prepare_two_tables(spark, folder):
+    """Two tables of papers in one job: one has all its ids, the other blanks, so its gate is closed.
+
+    The strata of the second one include single papers, so it is not stratified either.
+    """
+    full = inputs.shared_id_papers(spark, folder, blanks=False).withColumn("collection", F.lit("full"))
+    blank = inputs.shared_id_papers(spark, folder, blanks=True).withColumn("collection", F.lit("blank"))
+    alone = F.when(F.col("seq") % 50 == 0, F.col("seq").cast("string")).otherwise(F.col("primary_topic"))
+    both = full.unionByName(blank.withColumn("primary_topic", alone)).withColumn("seq", F.struct("collection", "seq"))
+    papers = prepare(both, seed=SEED, by="collection")
+    return papers.select("collection", F.sha2("row_key", 256).alias("key_sha256"), "title", "primary_topic", "split")
+
+
+@query
+def splits_prepare_now(spark, folder):
+    """No prepared splits are named, so the papers are cleaned and split on the spot."""
+    papers = splits_or_prepare(spark, raw=inputs.papers(spark, folder), seed=SEED, stratify="topics")
+    return papers.select("id", "split")
+
+
+@query
+def collect_then_prepare(spark, folder):
+    """Landed works, selected and normalised, then cleaned, deduplicated and split."""
+    papers = collect(spark, landed_works(spark, folder), from_date="2019-03-01", concept_ids=["en", "fr", "de"])
+    return prepare(papers, seed=SEED).select("id", "title", "primary_topic", "split")
+
+
 @query
 def prepare_blank_ids(spark, folder):
     """No ids at all: duplicates by content only, split ordered by content."""
@@ -345,15 +373,15 @@ def split_sizes(spark, folder):
 
 @query
 def few_shot_examples(spark, folder):
-    train = inputs.papers(spark, folder).filter("seq % 3 > 0")
+    train = inputs.papers(spark, folder)
     shots = scoring.few_shot_examples(train, 4, SEED, F.col("id"))
     return shots.withColumn("number", F.col("number").cast("long"))
 
 
 @query
 def evaluation_sample(spark, folder):
-    rows = inputs.scored(spark, folder).filter("run = 'lead'").select("id", "split")
-    return sampling.evaluation_cap(rows, 40, SEED, F.col("id"))
+    rows = inputs.scored(spark, folder).select(F.concat_ws("-", "run", "id").alias("id"), "split")
+    return sampling.evaluation_cap(rows, 400, SEED, F.col("id"))
 
 
 @query
@@ -433,7 +461,7 @@ def text_slug(spark, folder):
 def text_words(spark, folder):
     return documents(spark, folder).select(
         "doc_id", text.word_count(F.col("text")).cast("long").alias("word_count"),
-        F.array_join(text.words(inputs.first_line()), " ").alias("title_words"),
+        F.md5(F.array_join(text.words(F.col("text")), " ")).alias("words_md5"),
     )
 
 
@@ -528,11 +556,11 @@ def vector_mean_pool(spark, folder):
 def mask_label_ids(spark, folder):
     """Word lengths as label ids, short words ignored (-100), padded with 0."""
     ids = F.transform(
-        text.words(inputs.first_line()),
+        text.words(F.col("text")),
         lambda w: F.when(F.length(w) < 3, -100).otherwise(F.length(w)),
     )
     return documents(spark, folder).select(
-        "doc_id", listed(arrays.mask_labels(ids, pad=0).cast("array<string>")).alias("label_ids")
+        "doc_id", F.md5(listed(arrays.mask_labels(ids, pad=0).cast("array<string>"))).alias("label_ids_md5")
     )
 
 
@@ -555,9 +583,9 @@ def prompt_zero_shot(spark, folder):
 @query
 def prompt_few_shot(spark, folder):
     papers = inputs.papers(spark, folder)
-    examples = scoring.few_shot_examples(papers.filter("seq % 3 > 0"), 4, SEED, F.col("id"))
+    examples = scoring.few_shot_examples(papers, 4, SEED, F.col("id"))
     prompt = title_prompt(F.col("abstract"), examples=scoring.example_block(examples))
-    return papers.filter("seq % 3 = 0").select(
+    return papers.select(
         "id", prompt.alias("prompt"), F.lit(mode_label(4)).alias("mode")
     )
 
@@ -681,7 +709,7 @@ def rouge_by_run(spark, folder):
 def rouge_dialogues(spark, folder):
     """Long texts on both sides."""
     rows = overlap.rouge_rows(inputs.dialogues(spark, folder), stem=False)
-    return rows.select("conv_id", "turn", *[six(F.col(n), n) for n in ("rouge1", "rouge2")])
+    return rouge_columns(rows, ["conv_id", "turn"])
 
 
 @query
@@ -881,14 +909,14 @@ def evaluation_outputs_round_trip(spark, folder):
     ]
     return (
         parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("output", "split")
-        .agg(F.count("*").alias("rows"), F.sum(F.col("id").cast("long")).alias("id_sum"))
+        .agg(F.count("*").alias("rows"), F.sum(F.substring_index("id", "-", -1).cast("long")).alias("id_sum"))
     )
 
 
 @query
 def few_shot_round_trip(spark, folder):
     path = scratch_path(spark, "shots")
-    train = inputs.papers(spark, folder).filter("seq % 3 > 0")
+    train = inputs.papers(spark, folder)
     shots = scoring.few_shot_examples(train, 6, SEED, F.col("id"))
     writers.write_jsonl(shots, path)
     read = spark.read.schema(shots.schema).json(path)

@@ -8,6 +8,7 @@ recurrence instead of bit vectors.
 
 from __future__ import annotations
 
+import re
 from string import ascii_lowercase, ascii_uppercase
 
 from ..functions import prompts, stemming
@@ -175,8 +176,8 @@ SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, run,
 FROM runs"""
 SCORED_PARTS = {"split_words": SPLIT_WORDS, "runs": RUNS, "scored": SCORED}
 LEAD = """
-SELECT id, abstract, reference AS title, prediction AS predicted_title, split
-FROM scored WHERE run = 'lead'"""
+SELECT run || '-' || id AS id, abstract, reference AS title, prediction AS predicted_title, split
+FROM scored"""
 DIALOGUES = """
 SELECT a.conv_id, a.turn, a.text AS prediction, u.text AS reference, u.text AS abstract
 FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
@@ -636,8 +637,8 @@ ORACLES["attach_predictions"] = query(
     **SCORED_PARTS,
     lead=LEAD,
     result="""
-SELECT p.id, p.title, l.predicted_title
-FROM papers p LEFT JOIN lead l ON p.id = l.id AND l.split = 'val'""",
+SELECT 'lead-' || p.id AS id, p.title, l.predicted_title
+FROM papers p LEFT JOIN lead l ON 'lead-' || p.id = l.id""",
 )
 
 ORACLES["papers_clean"] = query(**BASE, result=clean("papers"))
@@ -676,6 +677,57 @@ ORACLES["prepare_split_counts"] = query(
     **split("firsts", "id", "primary_topic"),
     result="SELECT split, primary_topic, count(*) AS rows FROM split_table GROUP BY ALL",
 )
+def named(parts: dict, prefix: str, names: set[str]) -> dict:
+    """The same CTEs under other names, so that a query can hold two of them."""
+    renamed = {}
+    for name, sql in parts.items():
+        for old in names:
+            sql = re.sub(rf"\b{old}\b", prefix + old, sql)
+        renamed[prefix + name] = sql
+    return renamed
+
+
+def two_tables() -> dict:
+    out = {}
+    for table, blank in (("full", "false"), ("blank", "seq % 10 = 3")):
+        topic = "CASE WHEN seq % 50 = 0 THEN CAST(seq AS VARCHAR) ELSE primary_topic END" if table == "blank" else "primary_topic"
+        chain = {
+            "shared": f"SELECT * REPLACE (CASE WHEN {blank} THEN ' ' ELSE md5(title) END AS id, {topic} AS primary_topic) FROM papers",
+            "cleaned": clean("shared"),
+            "by_id": keep_first("cleaned", "id") if table == "full" else "SELECT * FROM cleaned",
+            "firsts": keep_first("by_id", "title", "abstract"),
+            "keyed": f"""SELECT *, '={table}' || chr(31) || {"id" if table == "full" else "sha256(title || chr(31) || abstract)"} AS row_key
+FROM firsts""",
+            **split("keyed", "row_key", "primary_topic"),
+        }
+        out |= named(chain, f"{table}_", set(chain))
+    return out
+
+
+ORACLES["prepare_two_tables"] = query(
+    **BASE,
+    **two_tables(),
+    result="""
+SELECT 'full' AS collection, sha256(row_key) AS key_sha256, title, primary_topic, split FROM full_split_table
+UNION ALL SELECT 'blank', sha256(row_key), title, primary_topic, split FROM blank_split_table""",
+)
+ORACLES["splits_prepare_now"] = query(
+    **UNIQUE_PAPERS, **split("firsts", "id", "topics"), result="SELECT id, split FROM split_table"
+)
+ORACLES["collect_then_prepare"] = query(
+    all_works=WORKS,
+    works="""
+SELECT * FROM (SELECT * FROM all_works WHERE publication_date >= DATE '2019-03-01'
+               AND list_has_any(concept_keys, ['en', 'fr', 'de']) AND id <> '')
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1""",
+    normal=NORMAL,
+    papers="SELECT * FROM normal WHERE abstract <> ''",
+    cleaned=clean("papers"),
+    by_id=keep_first("cleaned", "id"),
+    firsts=keep_first("by_id", "title", "abstract"),
+    **split("firsts", "id", "primary_topic"),
+    result="SELECT id, title, primary_topic, split FROM split_table",
+)
 ORACLES["prepare_blank_ids"] = query(
     **CLEAN_PAPERS,
     firsts=keep_first("cleaned", "title", "abstract"),
@@ -736,14 +788,14 @@ ORACLES["split_sizes"] = query(
 SELECT split, count(*) AS rows FROM split_table GROUP BY 1
 UNION ALL SELECT 'full', count(*) FROM split_table""",
 )
-TRAIN = {"train": "SELECT * FROM papers WHERE seq % 3 > 0"}
+TRAIN = {"train": "SELECT * FROM papers"}
 ORACLES["few_shot_examples"] = query(
     **BASE, **TRAIN, **shots("train", 4), result="SELECT * FROM shots"
 )
 ORACLES["evaluation_sample"] = query(
     **SCORED_PARTS,
-    lead="SELECT id, split FROM scored WHERE run = 'lead'",
-    result=sample("lead", 40, "eval", "id", "split"),
+    named="SELECT run || '-' || id AS id, split FROM scored",
+    result=sample("named", 400, "eval", "id", "split"),
 )
 ORACLES["evaluation_sample_by_cut"] = query(
     lines="SELECT l_orderkey, l_linenumber, l_returnflag AS split FROM lineitem",
@@ -780,7 +832,7 @@ SELECT 'd' || doc_id AS key, {slug(first_line())} AS slug FROM documents
 UNION ALL SELECT 'p' || page_id, {slug('url')} FROM pages"""
 ORACLES["text_words"] = f"""
 SELECT doc_id, len({words('text')}) AS word_count,
-  array_to_string({words(first_line())}, ' ') AS title_words FROM documents"""
+  md5(array_to_string({words('text')}, ' ')) AS words_md5 FROM documents"""
 ORACLES["text_ngrams"] = query(
     tokens=f"SELECT doc_id, {words('text')} AS pt FROM documents",
     grams=gram_rows("tokens", "pt", "doc_id", "[1, 2, 3, 4]"),
@@ -822,9 +874,9 @@ FROM (SELECT vec_id, i, j, CAST(embedding[i * 8 + j + 1] AS DOUBLE) AS v,
       FROM embeddings, range(0, 8) AS a(i), range(0, 8) AS b(j))
 GROUP BY vec_id, j"""
 ORACLES["mask_label_ids"] = f"""
-SELECT doc_id, array_to_string(list_transform({words(first_line())},
-  lambda w: CASE WHEN length(w) < 3 THEN '0' ELSE CAST(length(w) AS VARCHAR) END), '|')
-  AS label_ids FROM documents"""
+SELECT doc_id, md5(array_to_string(list_transform({words('text')},
+  lambda w: CASE WHEN length(w) < 3 THEN '0' ELSE CAST(length(w) AS VARCHAR) END), '|'))
+  AS label_ids_md5 FROM documents"""
 
 ORACLES["prompt_seq2seq"] = f"""
 SELECT doc_id, {lit(prompts.INSTRUCTION)} || chr(10) || chr(10) || text AS prompt FROM documents"""
@@ -845,7 +897,7 @@ ORACLES["prompt_few_shot"] = query(
     **shots("train", 4),
     result=f"""
 SELECT id, {prompt('abstract', '(SELECT block FROM block) || chr(10)')} AS prompt,
-  'few_shot' AS mode FROM papers WHERE seq % 3 = 0""",
+  'few_shot' AS mode FROM papers""",
 )
 ANSWER = "'Title: ' || array_to_string(string_split(abstract, ' ')[1:12], ' ')"
 ORACLES["predict_titles"] = query(
@@ -919,8 +971,8 @@ ORACLES["rouge_by_run"] = query(
 ORACLES["rouge_dialogues"] = query(
     pairs=DIALOGUES,
     tokens=plain_tokens("pairs"),
-    **rouge_ctes("tokens", "conv_id, turn", lcs=False),
-    result=f"SELECT conv_id, turn, {six('rouge1', 'rouge1')}, {six('rouge2', 'rouge2')} FROM rouge",
+    **rouge_ctes("tokens", "conv_id, turn"),
+    result=f"SELECT conv_id, turn, {six('rouge1', 'rouge1')}, {six('rouge2', 'rouge2')}, {six('rougeL', 'rougeL')} FROM rouge",
 )
 MASSES = ["exp(-1)" + "".join(f" / {i}" for i in range(2, k + 1)) for k in range(16)]
 WEIGHT = " + ".join(
@@ -1013,7 +1065,7 @@ def long_scores(keys: str) -> str:
 
 ORACLES["scorecard_by_split"] = query(
     **SCORED_PARTS,
-    one="SELECT * FROM scored WHERE run = 'lead'",
+    one="SELECT * FROM scored",
     **bleu_and_rouge("one", ["split"]),
     **scorecard_ctes("one", ["split"]),
     result=long_scores("split"),
@@ -1131,7 +1183,7 @@ ORACLES["evaluation_outputs_round_trip"] = query(
     lead=LEAD,
     sampled=sample("lead", 100, "human", "id", "split"),
     result="""
-SELECT output, split, count(*) AS rows, CAST(sum(CAST(id AS BIGINT)) AS BIGINT) AS id_sum
+SELECT output, split, count(*) AS rows, CAST(sum(CAST(split_part(id, '-', 2) AS BIGINT)) AS BIGINT) AS id_sum
 FROM (SELECT 'generated_titles' AS output, id, split FROM lead
       UNION ALL SELECT 'human_eval', id, split FROM lead
       UNION ALL SELECT 'human_eval_sample', id, split FROM sampled) GROUP BY output, split""",

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.canonical import canonicalise
-from ..operators.cleaning import (
-    clean_papers, deduplicate, ids_filled, row_key, with_content,
-)
+from ..operators.canonical import CANONICAL, canonicalise
+from ..operators.cleaning import clean_papers, deduplicate, with_content
 from ..operators.sampling import split_rows
+from ..sources.readers import read_splits, splits_path
 from ..sources.shared import stored
 
 
@@ -25,20 +24,39 @@ def prepare(
     test: float = 0.1,
     seed: int = 42,
     stratify: str | None = "primary_topic",
+    by: str | None = None,
     **columns: str,
 ) -> DataFrame:
     """Canonical papers with a ``split`` column and ``row_key``.
 
+    ``by`` names a column that tells apart several tables of papers: each is deduplicated
+    and split on its own, with its own gates, all in one job.  The column stays.
+
     The clean papers are stored once.  Duplicates and splits are then settled on
     narrow columns of that table, and the texts are read a second time only to be
     handed on with their label.
     """
-    canonical = canonicalise(raw, layout, **columns, carry=[seq])
+    carry = [seq] if by is None or by in CANONICAL else [seq, by]
+    canonical = canonicalise(raw, layout, **columns, carry=carry)
     cleaned = clean_papers(canonical, min_title_chars, min_abstract_chars)
     papers = stored(with_content(cleaned), "papers")
-    key = F.col(seq).cast("string")
     if remove_duplicates:
-        by_id = ids_filled(papers)
-        papers, key = deduplicate(papers, by_id, seq), row_key(by_id)
-    papers = papers.withColumn("row_key", key).drop(seq, "content")
-    return split_rows(papers, train, val, test, seed, F.col("row_key"), stratify)
+        papers = deduplicate(papers, seq, by)
+    else:
+        papers = papers.withColumn("row_key", F.col(seq).cast("string"))
+    papers = papers.drop(seq, "content")
+    return split_rows(papers, train, val, test, seed, F.col("row_key"), stratify, by)
+
+
+def splits_or_prepare(
+    spark: SparkSession, path: str | None = None, root: str | None = None, run: str | None = None,
+    fmt: str = "parquet", raw: DataFrame | None = None, **options,
+) -> DataFrame:
+    """Prepared splits where a path or a run names some, or else ``raw`` papers cleaned and split now.
+
+    Naming none and giving no papers is an error, as is naming both a path and a run.
+    ``options`` as for ``prepare``.
+    """
+    if path or run or raw is None:
+        return read_splits(spark, splits_path(path, root, run), fmt)
+    return prepare(raw, **options)

@@ -7,8 +7,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from papercorpus.operators.collection import first_rows
 from papercorpus.operators import sampling
 
+from .test_plan_shapes import plan
+
 
 def quotas(spark, sizes, draws):
     strata = spark.createDataFrame(list(sizes.items()), "stratum string, size long")
@@ -151,3 +154,13 @@ def test_evaluation_cap_of_zero_keeps_all(spark):
     df = skewed(spark).withColumn("split", F.lit("val"))
     assert sampling.evaluation_cap(df, 0, 1, F.col("id")) is df
     assert sampling.evaluation_cap(df, 10, 1, F.col("id")).count() == 10
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 499, 500, 900])
+def test_first_rows_by_cut_point(spark, n):
+    rows = spark.range(500).selectExpr("(id * 7919) % 500 as seq", "id as v").repartition(7)
+    assert sorted(r["seq"] for r in first_rows(rows, n).collect()) == list(range(min(n, 500)))
+    nested = rows.select(F.struct(F.lit("f").alias("file"), "seq").alias("seq"), "v")
+    assert first_rows(nested, n).count() == min(n, 500)
+    shown = plan(first_rows(rows, n))
+    assert "TakeOrdered" not in shown and "GlobalLimit" not in shown.replace("LocalLimit", "") or n == 0
