@@ -5,9 +5,9 @@ its paragraphs' vectors, each place modulo a power of two. The order of paragrap
 not matter, and adding or taking away a paragraph adds or subtracts its vector. The
 vector has two parts:
 
-* 16 places modulo 2^64, filled from the hash of the paragraph's bytes: equal sums mean
-  equal multisets of paragraphs;
-* 256 places modulo 2^16, where each run of three words of the paragraph adds 1 or -1 in
+* 16 places modulo 2^64, filled from two hashes of the paragraph's bytes, 128 bits together: equal
+  sums mean equal multisets of paragraphs;
+* 256 places modulo 2^32, where each run of three words of the paragraph adds 1 or -1 in
   one place: the cosine of two such sums estimates how much of the runs is shared.
 
 Last comes the number of paragraphs, so that a text of empty lines is not nothing.
@@ -15,6 +15,8 @@ Last comes the number of paragraphs, so that a text of empty lines is not nothin
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,17 +28,21 @@ from .words import U64, Texts, as_bytes, mix64, owner, powers, runs
 
 WIDE, PLACES, RUN = 16, 256, 3
 _LANES = mix64(np.arange(1, WIDE + 1, dtype=U64) * U64(0xA0761D6478BD642F))
+_OTHER = mix64(np.arange(1, 257, dtype=U64) * U64(0xE7037ED1A0B428DB))
 
 
 def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums modulo 2^64 (a column more for the number of paragraphs) and modulo 2^16 of each text."""
+    """Sums modulo 2^64 (a column more for the number of paragraphs) and modulo 2^32 of each text."""
     t = Texts(texts)
     begin, end, first = t.lines()
     lines = t.hashes(begin, end)
+    up, down = powers(len(t.buf))
+    other = np.concatenate([np.zeros(1, U64), np.cumsum(_OTHER[t.buf] * up, dtype=U64)])
+    second = mix64((other[end] - other[begin]) * down[begin] + (end - begin).astype(U64))
     text_of_line = owner(first)
     wide = np.zeros((len(texts), WIDE + 1), U64)
     for k in range(WIDE):
-        wide[:, k] = np.add.reduceat(mix64(lines ^ _LANES[k]), first[:-1])
+        wide[:, k] = np.add.reduceat(mix64(lines ^ _LANES[k]) ^ mix64(second + _LANES[k]), first[:-1])
     wide[:, WIDE] = np.diff(first).astype(U64)
 
     words = t.words()
@@ -51,7 +57,7 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     place = text_of_line[line[at]] * PLACES + (run >> U64(32)).astype(np.int64) % PLACES
     sign = np.where(run & U64(1), 1.0, -1.0)
     counts = np.bincount(place, sign, len(texts) * PLACES).astype(np.int64).reshape(len(texts), PLACES)
-    return wide, counts.astype(np.uint16)
+    return wide, counts.astype(np.uint32)
 
 
 def encode(wide: np.ndarray, counts: np.ndarray) -> list[str]:
@@ -61,7 +67,7 @@ def encode(wide: np.ndarray, counts: np.ndarray) -> list[str]:
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
     cut = 8 * (WIDE + 1)
-    return np.frombuffer(raw[:cut], U64), np.frombuffer(raw[cut:], np.uint16)
+    return np.frombuffer(raw[:cut], U64), np.frombuffer(raw[cut:], np.uint32)
 
 
 def combine(x: str, y: str, remove: bool = False) -> str:
@@ -74,7 +80,7 @@ def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
     """1 for equal fingerprints, else the cosine of the small parts, 0 at least."""
     if np.array_equal(x[0], y[0]) and np.array_equal(x[1], y[1]):
         return 1.0
-    a, b = x[1].view(np.int16).astype(float), y[1].view(np.int16).astype(float)
+    a, b = x[1].view(np.int32).astype(float), y[1].view(np.int32).astype(float)
     size = np.sqrt(a @ a) * np.sqrt(b @ b)
     return float(min(1.0, max(0.0, a @ b / size))) if size else 0.0
 
@@ -103,57 +109,109 @@ def fingerprints(docs: DataFrame, text: str = "text", result: str = "fingerprint
     return docs.withColumn(result, fingerprint(text))
 
 
-BLOCK = 512
+BLOCK, MOST = 512, 4096
+_NO_ID = -(2**62)
+_OWN, _FIRST, _NEXT = 0, 1, 2
 
 
-def with_successor(docs: DataFrame, make, schema: str, block: int = BLOCK) -> DataFrame:
+def with_successor(docs: DataFrame, make, schema: str, block: int = BLOCK, most: int = MOST) -> DataFrame:
     """``make(ids, texts, next_texts)`` of every row of ``docs`` (doc_id, text), block by block.
 
-    Blocks are ranges of ``block`` ids; the first document of a block is also sent to the
-    block before it, so texts move once. The table of blocks, one narrow row each, is
-    stored first, so Spark knows its size and broadcasts it only below its threshold;
-    beyond that the texts move twice. The next of the last block is the first (by
-    block numbers, of which there is one row per block: two windows, over blocks of
-    blocks and over their ends, so that no task holds them all). The next of a row is the
-    document of the next larger id; of rows that share an id, the smallest text stands
-    for it. Null ids come first.
+    The next of a row is the document of the next larger id, after the last the first; of
+    rows that share an id, the smallest text stands for it. Null ids come first. Blocks are ranges
+    of ids, as wide as holds about ``block`` of them at the ids' mean density; the first document of a block
+    is also sent to the block before it, so texts move once. The rows of an id that has more than
+    ``most`` are dealt to groups of their own, each with the next document's text.
+    Ids, blocks and ids with many rows are stored narrow tables of measured size, which Spark broadcasts
+    below its threshold only; beyond that the texts move twice. No task holds all ids or blocks.
     """
-    at = F.coalesce(F.floor(F.col("doc_id") / block), F.lit(-(2**60))).cast("long")
-    ids = docs.select(at.alias("block"), "doc_id").groupBy("block").agg(
-        F.min(F.coalesce("doc_id", F.lit(-(2**62)))).alias("least"))
-    outer = F.floor(F.col("block") / 4096)
-    inside = Window.partitionBy("outer").orderBy("block")
-    placed = ids.withColumn("outer", outer).withColumn("prior", F.lag("block").over(inside))
-    ends = placed.groupBy("outer").agg(F.max("block").alias("last"))
-    across = ends.select("outer", F.lag("last").over(Window.orderBy("outer")).alias("before"))
+    scratch = Scratch(docs.sparkSession)
+    number = F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("long")
+    ids = scratch.store(docs.select(number.alias("id")).groupBy("id").agg(F.count("*").alias("rows")), "ids")
+    low, high, count = ids.filter(F.col("id") != _NO_ID).agg(F.min("id"), F.max("id"), F.count("*")).first()
+    width = min(2**62, max(1, -(-(high - low + 1) * block // count))) if count else 1
+    at = F.when(F.col("id") == _NO_ID, F.lit(_NO_ID)).otherwise(F.expr(f"id div {width}L"))
+    placed = ids.withColumn("block", at)
+    blocks = placed.groupBy("block").agg(F.min("id").alias("least"))
+    ranges = scratch.store(blocks.repartitionByRange("block").withColumn("range", F.spark_partition_id()), "blocks")
+    prior = F.lag("block").over(Window.partitionBy("range").orderBy("block"))
+    ends = ranges.groupBy("range").agg(F.max("block").alias("last"))  # a row per task, as is what the next window orders
+    across = ends.select("range", F.lag("last").over(Window.orderBy("range")).alias("before"))
     final = ends.agg(F.max("last").alias("final"))
-    before = Scratch(docs.sparkSession).store(placed.join(across, "outer").crossJoin(final).select(  # one row
+    before = scratch.store(ranges.withColumn("prior", prior).join(across, "range").crossJoin(final).select(  # one row
         F.col("block").alias("own"), "least", F.coalesce("prior", "before", "final").alias("prior")), "blocks")
-    keyed = docs.select(at.alias("block"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    heads = keyed.withColumn("id", F.coalesce("doc_id", F.lit(-(2**62)))).join(
-        before, (F.col("block") == F.col("own")) & (F.col("id") == F.col("least")))
-    # of rows that share the first id, the smallest text is enough
-    heads = heads.groupBy("prior").agg(F.min("text").alias("text")).select(
-        F.col("prior").alias("block"), F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(True).alias("head"))
+
+    following = F.lead("id").over(Window.partitionBy("block").orderBy("id"))
+    many = placed.withColumn("following", following).filter(F.col("rows") > most)
+    many = many.join(before.select(F.col("prior").alias("block"), F.col("least").alias("after")), "block")
+    hot = scratch.store(many.select(F.col("id").alias("hot"), F.ceil(F.col("rows") / most).alias("parts"),
+                                    F.coalesce("following", "after").alias("next")), "many-rows")
+
+    keyed = docs.select("doc_id", number.alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("block", at)
+    turn = F.when(F.col("hot").isNotNull(), 1 + F.pmod(F.xxhash64("text", F.spark_partition_id()), F.col("parts"))).otherwise(F.lit(0))
+    columns = ["block", "hot", "part", "kind", "doc_id", "id", "text"]
+
+    def row(kind: int, part: Column, df: DataFrame) -> DataFrame:
+        return df.withColumns({"kind": F.lit(kind), "part": part.cast("long")}).select(*columns)
+
+    own = row(_OWN, turn, keyed.join(hot, keyed["id"] == hot["hot"], "left"))
+    heads = keyed.join(before, (F.col("block") == F.col("own")) & (F.col("id") == F.col("least"))).groupBy("prior").agg(
+        F.min("text").alias("text"), F.first("id").alias("id"))
+    heads = row(_NEXT, F.lit(0), heads.select(F.col("prior").alias("block"), "id", "text", F.lit(None).cast("bigint").alias("doc_id"),
+                                              F.lit(None).cast("bigint").alias("hot")))
+    firsts = keyed.join(hot, keyed["id"] == hot["hot"]).groupBy("block", "id").agg(F.min("text").alias("text"))
+    firsts = row(_FIRST, F.lit(0), firsts.withColumns({"doc_id": F.lit(None).cast("bigint"), "hot": F.lit(None).cast("bigint")}))
+    nexts = keyed.join(hot, keyed["id"] == hot["next"]).groupBy("hot", "parts").agg(F.min("text").alias("text"))
+    nexts = nexts.withColumn("id", F.col("hot")).withColumns({"block": at, "doc_id": F.lit(None).cast("bigint")})
+    nexts = nexts.withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts"))))
+    nexts = row(_NEXT, F.col("each"), nexts)
 
     def made(table: pa.Table) -> pa.Table:
-        head = table.column("head").to_pylist()
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        tail = next(t for t, h in zip(texts, head, strict=True) if h)
-        own = sorted((i is not None, i or 0, t) for i, t, h in zip(ids, texts, head, strict=True) if not h)
-        following, after = [], tail
-        for k in range(len(own) - 1, -1, -1):
-            if k + 1 < len(own) and own[k + 1][:2] != own[k][:2]:
-                first = k + 1
-                after = own[first][2]
-            following.append(after)
-        following.reverse()
-        return make([i if known else None for known, i, _ in own], [t for _, _, t in own], following)
-
-    return keyed.withColumn("head", F.lit(False)).unionByName(heads).groupBy("block").applyInArrow(made, schema)
+        kind, ids, texts = (table.column(c).to_pylist() for c in ("kind", "id", "text"))
+        tail = next((t for t, k in zip(texts, kind, strict=True) if k == _NEXT), None)
+        first: dict[int, bytes] = {}
+        for i, t, k in zip(ids, texts, kind, strict=True):
+            if k != _NEXT and (i not in first or t < first[i]):
+                first[i] = t
+        order = sorted(first)
+        after = dict(zip(order, [*(first[i] for i in order[1:]), tail], strict=False))
+        own = [n for n, k in enumerate(kind) if k == _OWN]
+        doc_ids = table.column("doc_id").to_pylist()
+        return make([doc_ids[n] for n in own], [texts[n] for n in own], [after[ids[n]] for n in own])
+
+    whole = own.unionByName(heads).unionByName(firsts).unionByName(nexts)
+    return whole.groupBy("block", "hot", "part").applyInArrow(made, schema)
 
 
 def edited(text: str, following: str) -> str:
     """The text with its last half replaced by the start of the next one."""
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
+
+
+EDITED = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+          "near_edited double, near_next double")
+
+
+def compare_edited(ids: list, texts: list[bytes], following: list[bytes]) -> pa.Table:
+    """Fingerprints of texts and of their edited texts, and their likeness to these and to the next texts."""
+    whole = [t.decode() for t in texts]
+    changed = [edited(t, n.decode()).encode() for t, n in zip(whole, following, strict=True)]
+    known = list(dict.fromkeys([*texts, *changed, *following]))
+    parts = {}
+    for a, b in runs(known):
+        parts |= zip(known[a:b], zip(*vectors(known[a:b]), strict=True), strict=True)
+    written = {t: encode([v[0]], [v[1]])[0] for t, v in parts.items()}
+    near = [[likeness(parts[t], parts[o]) for t, o in zip(texts, others, strict=True)] for others in (changed, following)]
+    return pa.table({
+        "doc_id": pa.array(ids, pa.int64()), "n_chars": pa.array([len(t) for t in whole], pa.int64()),
+        "edited_sha256": pa.array([sha256(t).hexdigest() for t in changed], pa.string()),
+        "fingerprint": pa.array([written[t] for t in texts], pa.string()),
+        "edited_fingerprint": pa.array([written[t] for t in changed], pa.string()), "near_edited": pa.array(near[0], pa.float64()),
+        "near_next": pa.array(near[1], pa.float64())})
+
+
+def edited_fingerprints(docs: DataFrame, **blocks: int) -> DataFrame:
+    """EDITED of every row of ``docs`` (doc_id, text); the next document as in ``with_successor``. A null text is empty."""
+    ship_package(docs.sparkSession)
+    return with_successor(docs, compare_edited, EDITED, **blocks)

@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join over words, with an edit bound of one word.
 
-Two lines are alike if their words (A-Z in lower case) differ by at most one inserted,
-deleted or replaced word. Every line emits its variants, each with one word left out, as
-hashed keys; equal keys bring alike lines together:
+Two lines are alike if they have the same words (A-Z in lower case), or, from EDIT_WORDS
+words on, if their words differ by one inserted, deleted or replaced word: the edit bound
+is an eighth of a line, one word at most. Every line within the bound emits its variants, each
+with one word left out, as hashed keys; equal keys bring alike lines together:
 
 * replaced word: both lines leave out the word at the same place i, so the key holds the
   variant and i. All lines of such a key are alike, so each needs only the earliest one.
@@ -12,6 +13,9 @@ hashed keys; equal keys bring alike lines together:
 So a key held by any number of lines is one aggregated row, never pairs. Before that, an
 exact filter spares most lines the variants: alike lines share their first or their last
 words up to the middle, so a line without a partner there has no partner at all.
+
+Lines are known by their hashes and found again by the hash of their whole text, never by
+doc_id, so null and repeated ids are keys like others.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, spare
 from .words import BASE, U64, Texts, as_bytes, mix64, owner, powers, runs
 
-#: Shorter lines are left alone: one word of few is no small edit, and short lines recur in clean texts.
-MIN_WORDS = 8
+#: Words from which on a line may differ in one: below, one word is more than an eighth of the line.
+EDIT_WORDS = 8
 
 
 class Spans:
@@ -49,25 +53,26 @@ class Spans:
         return mix64(joined + (b - a - 1).astype(U64))
 
 
-def _long_lines(texts: list[bytes], least: int):
-    """Words, and text, number, word bounds of each line with ``least`` words or more."""
+def _lines_of(texts: list[bytes]):
+    """Words, and text, number, word bounds of each line that has a word."""
     t = Texts([x.lower() for x in texts])
     begin, end, first = t.lines()
     a, b = np.searchsorted(t.starts, begin), np.searchsorted(t.starts, end)
-    keep = b - a >= least
+    keep = b > a
     text = owner(first)
     number = np.arange(len(begin)) - first[text]
     return t.words(), text[keep], number[keep], a[keep], b[keep]
 
 
 def _line_rows(texts: list[bytes], least: int) -> list[np.ndarray]:
-    words, text, number, a, b = _long_lines(texts, least)
+    """Text, number, two hashes, whether the line has ``least`` words, and its half-line keys."""
+    words, text, number, a, b = _lines_of(texts)
     spans, other = Spans(words), Spans(mix64(words ^ U64(BASE)))
-    half = (b - a) // 2
+    half = np.maximum((b - a) // 2, 1)
     keys = [mix64(hashed ^ mix64((k * 2 + side).astype(U64) + U64(1)))
             for k in (half, half - 1)
             for side, hashed in ((0, spans.of(a, a + k)), (1, spans.of(b - k, b)))]
-    return [text, number, spans.of(a, b), other.of(a, b), *keys]
+    return [text, number, spans.of(a, b), other.of(a, b), b - a >= least, *keys]
 
 
 KEYS = ["k1", "k2", "k3", "k4"]
@@ -77,15 +82,16 @@ _LINES = "array<struct<line:int,one:bigint,two:bigint,k1:bigint,k2:bigint,k3:big
 def _lines(least: int):
     def lines(texts: pa.Array) -> pa.Array:
         rows = as_bytes(texts)
-        counts, columns = [np.zeros(1, np.int64)], [[] for _ in range(7)]
+        counts, columns = [np.zeros(1, np.int64)], [[] for _ in range(8)]
         for a, b in runs(rows):
             text, *values = _line_rows(rows[a:b], least)
             counts.append(np.bincount(text, minlength=b - a))
             for column, value in zip(columns, values, strict=True):
                 column.append(value)
-        flat = [np.concatenate(c) if c else np.zeros(0, U64) for c in columns]
-        kinds = [flat[0].astype(np.int32), *(c.astype(U64).view(np.int64) for c in flat[1:])]
-        structs = pa.StructArray.from_arrays([pa.array(c) for c in kinds], names=["line", "one", "two", *KEYS])
+        number, one, two, long, *keys = [np.concatenate(c) if c else np.zeros(0, U64) for c in columns]
+        kinds = [pa.array(number.astype(np.int32)), *(pa.array(c.astype(U64).view(np.int64)) for c in (one, two)),
+                 *(pa.array(c.astype(U64).view(np.int64), mask=~long.astype(bool)) for c in keys)]
+        structs = pa.StructArray.from_arrays(kinds, names=["line", "one", "two", *KEYS])
         return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), structs)
 
     return F.arrow_udf(lines, _LINES).asNondeterministic()
@@ -105,8 +111,8 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line = np.concatenate([text, text, np.arange(q - p)]) + p
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.view(np.int64)), pa.array(kind),
-                 *(batch.column(c).take(pa.array(line)) for c in ("one", "two", "doc_id", "line"))],
-                names=["key", "kind", "one", "two", "doc_id", "line"])
+                 *(batch.column(c).take(pa.array(line)) for c in ("one", "two", "doc_id", "text_key", "line"))],
+                names=["key", "kind", "one", "two", "doc_id", "text_key", "line"])
 
 
 def within_one(x: list[bytes], y: list[bytes]) -> bool:
@@ -125,12 +131,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["one", "two"]).filter(keep)
 
 
-def _rebuilt(least: int):
+def _rebuilt():
     def rebuilt(texts: pa.Array, drops: pa.Array) -> pa.Array:
         rows, lists = as_bytes(texts), drops.to_pylist()
         out, valid = [], [t is not None for t in texts.to_pylist()]
         for a, b in runs(rows):
-            text, number, one, *_ = _line_rows(rows[a:b], least)
+            text, number, one, *_ = _line_rows(rows[a:b], 1)
             hashes = dict(zip(zip(text.tolist(), number.tolist(), strict=True), one.view(np.int64).tolist(), strict=True))
             for i in range(a, b):
                 away = {d["line"] for d in lists[i] or () if hashes.get((i - a, d["line"])) == d["one"]}
@@ -144,73 +150,86 @@ def _rebuilt(least: int):
     return F.arrow_udf(rebuilt, "struct<text:string,n_lines:bigint,n_removed:bigint>").asNondeterministic()
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line, one) of the lines that have an alike line before them.
+NO_ID = -(2**63)
+
+
+def _place(*names: str) -> Column:
+    """Order of lines: doc_id (null first), hash of the text, line number."""
+    doc_id, *rest = names
+    return F.struct(F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("doc_id"), *rest)
+
+
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    text = F.col("text").cast("binary")
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), *more)
 
-    Before: smaller (doc_id, line number), null ids first. Lines count from 0.
+
+def repeated_lines(docs: DataFrame, scratch: Scratch, edit_words: int = EDIT_WORDS) -> DataFrame:
+    """(doc_id, text_key, line, one) of the lines that have an alike line before them.
+
+    Before: smaller (doc_id, hash of the text, line number), null ids first. Lines count from 0.
     """
-    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), "line")
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                         F.inline(_lines(min_words)(F.col("text").cast("binary"))))
-    found = scratch.store(narrow.select("doc_id", "line", "one", "two", *KEYS), "lines")
+    place = _place("doc_id", "text_key", "line")
+    found = scratch.store(_keyed(docs, F.inline(_lines(edit_words)(F.col("text").cast("binary")))), "lines")
     kinds = scratch.store(found.groupBy("one", "two").agg(
         F.min(place).alias("place"), *(F.min(k).alias(k) for k in KEYS)), "kinds-of-line")
 
-    halves = kinds.select("one", "two", F.explode(F.array_distinct(F.array(*KEYS))).alias("half"))
+    halves = kinds.filter(F.col(KEYS[0]).isNotNull()).select("one", "two", F.explode(F.array_distinct(F.array(*KEYS))).alias("half"))
     twice = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     paired = halves.join(twice, "half", "left_semi").select("one", "two").distinct()
     wanted = scratch.store(kinds.join(paired, ["one", "two"]).select("one", "two", "place"), "wanted")
 
-    per_doc = wanted.groupBy(F.col("place.doc_id").alias("of")).agg(
-        F.collect_set(F.struct(F.col("place.line").alias("line"), "one", "two")).alias("wanted"))
-    texts = docs.select(place_id(docs).alias("of"), "text").join(per_doc, "of")
-    lower = F.translate(F.get(F.split("text", "\n"), F.col("w.line")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lines = scratch.store(texts.select("of", "text", F.explode("wanted").alias("w")).select(
-        "w.one", "w.two", F.col("of").alias("doc_id"), "w.line", lower.cast("binary").alias("words"))
-        .filter("words is not null"), "line-texts")
+    per_text = scratch.store(wanted.groupBy(F.col("place.text_key").alias("text_key")).agg(
+        F.collect_list(F.struct("one", "two", F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line"))).alias("wanted")), "per-text")
+    # equal texts are one: a text that a third of all rows repeat is fetched once
+    texts = _keyed(docs, F.col("text")).join(per_text.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(
+        F.min("text").alias("text"))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    picked = F.flatten(F.transform(F.array(F.split(lower, "\n")), lambda parts: F.transform("wanted", lambda w: F.struct(
+        w["one"].alias("one"), w["two"].alias("two"), w["doc_id"].alias("doc_id"), w["line"].alias("line"),
+        F.get(parts, w["line"]).cast("binary").alias("words")))))  # a text is split once, whatever is picked from it
+    lines = scratch.store(texts.join(per_text, "text_key").select("text_key", F.inline(picked)).select(
+        "one", "two", "doc_id", "text_key", "line", "words").filter("words is not null"), "line-texts")
 
     rows = scratch.store(lines.mapInArrow(
-        _variants, "key bigint, kind tinyint, one bigint, two bigint, doc_id bigint, line int"), "variants")
-    at = F.struct("doc_id", "line", "one", "two")
+        _variants, "key bigint, kind tinyint, one bigint, two bigint, doc_id bigint, text_key bigint, line int"), "variants")
+    at = F.struct("doc_id", "text_key", "line", "one", "two")
     groups = rows.groupBy("key").agg(
         F.count("*").alias("n"),
         *(F.min(F.when(F.col("kind") == k, at)).alias(f"first_{k}") for k in range(3))).filter("n > 1").drop("n")
     partner = F.when(F.col("kind") == 0, F.col("first_0")).when(F.col("kind") == 1, F.col("first_2")).otherwise(F.col("first_1"))
-    earlier = rows.join(groups, "key").select("one", "two", at.alias("at"), partner.alias("partner")).filter(
-        (F.col("partner.doc_id") < F.col("at.doc_id"))
-        | (F.col("partner.doc_id") == F.col("at.doc_id")) & (F.col("partner.line") < F.col("at.line")))
+    where = [F.struct(*(F.col(f"{side}.{c}") for c in ("doc_id", "text_key", "line"))) for side in ("partner", "at")]
+    earlier = rows.join(groups, "key").select("one", "two", at.alias("at"), partner.alias("partner")).filter(where[0] < where[1])
     pairs = scratch.store(earlier.groupBy("one", "two").agg(F.min("partner").alias("partner")), "partners")
     others = lines.select(F.col("one").alias("p_one"), F.col("two").alias("p_two"), F.col("words").alias("other"))
     near = scratch.store(
         pairs.select("one", "two", F.col("partner.one").alias("p_one"), F.col("partner.two").alias("p_two"))
         .join(lines.select("one", "two", "words"), ["one", "two"]).join(others, ["p_one", "p_two"])
         .select("one", "two", "words", "other").mapInArrow(_verified, "one bigint, two bigint").distinct(), "near-lines")
-    scratch.drop(rows, lines, wanted, pairs)
+    scratch.drop(rows, lines, wanted, per_text, pairs)
 
     late = found.join(kinds.select("one", "two", "place"), ["one", "two"]).join(
         near.withColumn("near", F.lit(True)), ["one", "two"], "left").filter(F.col("near") | (place != F.col("place")))
-    drops = scratch.store(late.select("doc_id", "line", "one"), "repeated-lines")
+    drops = scratch.store(late.select("doc_id", "text_key", "line", "one"), "repeated-lines")
     scratch.drop(found, kinds, near)
     return drops
 
 
-def place_id(docs: DataFrame) -> Column:
-    return F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-(2**63)))
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     """``docs`` (doc_id, text, ...) without lines that an earlier line resembles, and with n_lines, n_removed.
 
-    Whether a line goes does not depend on whether the earlier line stays. Lines below
-    ``min_words`` words always stay. Rows that repeat a doc_id hold the same places, so
-    neither is before the other. A null text stays null (no lines); an empty text is one
+    Whether a line goes does not depend on whether the earlier one stays. Lines without
+    a word always stay. Rows that repeat doc_id and text hold the same places, so
+    neither is before the other; rows that share an id (or have none) with other texts are
+    ordered by the hash of the text. A null text stays null (no lines); an empty text is one
     empty line. Columns called n_lines or n_removed are replaced.
     """
     scratch = Scratch(docs.sparkSession)
-    of, gone, new = (spare(name, docs) for name in ("_of", "_gone", "_new"))
-    per_doc = repeated_lines(docs, scratch, min_words).groupBy(
-        F.coalesce("doc_id", F.lit(-(2**63))).alias(of)).agg(F.collect_set(F.struct("line", "one")).alias(gone))
-    joined = docs.join(per_doc, place_id(docs) == per_doc[of], "left")
-    built = joined.withColumn(new, _rebuilt(min_words)(F.col("text").cast("binary"), F.col(gone)))
+    of, key, gone, new = (spare(name, docs) for name in ("_of", "_key", "_gone", "_new"))
+    per_text = repeated_lines(docs, scratch, edit_words).groupBy(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias(of), F.col("text_key").alias(key)).agg(F.collect_set(F.struct("line", "one")).alias(gone))
+    own = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)) == per_text[of]) & (F.xxhash64(docs["text"].cast("binary")) == per_text[key])
+    joined = docs.join(per_text, own, "left")
+    built = joined.withColumn(new, _rebuilt()(F.col("text").cast("binary"), F.col(gone)))
     return built.withColumns({"text": F.col(new)["text"], "n_lines": F.col(new)["n_lines"],
-                              "n_removed": F.col(new)["n_removed"]}).drop(of, gone, new)
+                              "n_removed": F.col(new)["n_removed"]}).drop(of, key, gone, new)

@@ -5,7 +5,8 @@ gets the limit, and the excess is shared again. Documents are dealt to cells (so
 shard), and a source's blocks of equal tokens are apportioned to its cells by the highest
 quotients size / (2k + 1), so that every cell has a whole number of blocks. In a cell the
 documents stand in seeded order, end to end, as a ring; its quota is read off the ring
-from the start, more than once round where the target is above the size.
+from the start, more than once round where the target is above the size. So the seed
+decides which blocks a quota takes: those that come first in a cell's seeded order.
 
 Shards grow with the corpus, so no window or task holds a whole source.
 """
@@ -52,9 +53,12 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     return levelled.select("source", "source_size", target.alias("target"))
 
 
-def quotas(cells: DataFrame) -> DataFrame:
+def quotas(cells: DataFrame, most: float | None = None) -> DataFrame:
     """``cells`` (source, shard, cell_size, source_size, target) with ``blocks``, a whole number each.
 
+    With ``most`` no cell gets more blocks than it takes to hold ``most`` times its size: its
+    further quotients are passed over, and their blocks go to the next cells in line.
+
     Of a source with b blocks, the cells get those of the b highest quotients
     cell_size / (2k + 1). With c cells the divisor that gives b blocks in all is within a
     share c / b of source_size / b, so a cell's number is within exact * c / b + 1 of its
@@ -65,73 +69,91 @@ def quotas(cells: DataFrame) -> DataFrame:
         "_exact", F.col("cell_size") * F.col("_b") / F.greatest("source_size", F.lit(1)))
     reach = F.ceil(F.col("_exact") * F.count("*").over(of_source) / F.greatest("_b", F.lit(1))) + 1
     ranged = shared.withColumn("_reach", reach)
-    sure = ranged.withColumn("_sure", F.greatest(F.floor(F.col("_exact")) - F.col("_reach"), F.lit(0)))
+    cap = F.lit(2**62) if most is None else F.ceil(most * F.col("cell_size") / BLOCK)
+    ranged = ranged.withColumn("_cap", cap)
+    sure = ranged.withColumn("_sure", F.least(F.greatest(F.floor(F.col("_exact")) - F.col("_reach"), F.lit(0)), F.col("_cap")))
     left = sure.withColumn("_left", F.col("_b") - F.sum("_sure").over(of_source))
-    options = left.withColumn("_k", F.explode(F.sequence(F.col("_sure"), F.floor(F.col("_exact")) + F.col("_reach"))))
-    quotient = F.col("cell_size") / (2 * F.col("_k") + 1)
-    order = Window.partitionBy("source").orderBy(quotient.desc(), F.col("shard"), F.col("_k"))
-    taken = options.withColumn("_taken", F.row_number().over(order) <= F.col("_left"))
+    options = left.withColumn("_k", F.explode(F.sequence(F.col("_sure"), F.greatest(F.col("_sure"), F.floor(F.col("_exact")) + F.col("_reach")))))
+    quotient, free = F.col("cell_size") / (2 * F.col("_k") + 1), F.col("_k") < F.col("_cap")
+    order = Window.partitionBy("source").orderBy(free.desc(), quotient.desc(), F.col("shard"), F.col("_k"))
+    taken = options.withColumn("_taken", free & (F.row_number().over(order) <= F.col("_left")))
     return taken.groupBy("source", "shard").agg(
         (F.first("_sure") + F.sum(F.col("_taken").cast("long"))).alias("blocks"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED,
-        shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) of every row of ``docs``.
+def _order(seed: int) -> Column:
+    """Seeded place of a row: MD5 of seed, id and the text's hash, so null and repeated ids spread too."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+                             F.xxhash64(F.col("text")).cast("string")))
 
-    ``size`` is the number of words (null text: 0), ``taken`` how many of them the mix
-    takes, repeats counted, from the document's start round and round. No document gives more than ``most`` times its size. The order in a cell
-    is the MD5 of seed and doc_id, ties by size, so reruns agree; rows that repeat a
-    doc_id stand side by side and are taken like any others. Null sources are one source.
+
+def _mixed(docs: DataFrame, scratch: Scratch, weights, share: float, most: float, seed: int, shard_docs: int) -> DataFrame:
+    """(doc_id, source, _order, size, _n, source_size, target, _whole, _extra): rows alike in id, source and text as one.
+
+    Each of the ``_n`` rows is taken ``_whole`` times, and all together ``_extra`` words more.
+    Merging them before the shuffle keeps a row that a third of all rows repeat out of one window.
     """
-    scratch = Scratch(docs.sparkSession)
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = scratch.store(docs.select("doc_id", "source", n_words().alias("size"), order.alias("_order")), "sizes")
-    shards = max(1, -(-sized.count() // shard_docs))
+    alike = docs.select("doc_id", "source", n_words().alias("size"), _order(seed).alias("_order")).groupBy(
+        "doc_id", "source", "size", "_order").agg(F.count("*").alias("_n"))
+    sized = scratch.store(alike, "sizes")
+    rows = sized.agg(F.sum("_n")).first()[0] or 0
+    shards = max(1, -(-rows // shard_docs))
     number = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long")
-    placed = sized.withColumn("shard", number % shards)
-    cells = placed.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
+    placed = sized.withColumn("shard", number % shards).withColumn("_words", F.col("size") * F.col("_n"))
+    cells = placed.groupBy("source", "shard").agg(F.sum("_words").alias("cell_size"))
     goals = scratch.store(targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, most), "targets")
-
-    def same(a: DataFrame, b: DataFrame, *more: str):
-        test = a["source"].eqNullSafe(b["source"])
-        for name in more:
-            test &= a[name] == b[name]
-        return test
-
-    with_goal = cells.join(goals, same(cells, goals)).select(cells["source"], "shard", "cell_size", "source_size", "target")
-    quota = scratch.store(quotas(with_goal).select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "blocks")
+    with_goal = cells.join(goals, cells["source"].eqNullSafe(goals["source"])).select(
+        cells["source"], "shard", "cell_size", "source_size", "target")
+    quota = scratch.store(quotas(with_goal, most).select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "blocks")
                           .join(with_goal, F.col("q_source").eqNullSafe(F.col("source")) & (F.col("q_shard") == F.col("shard")))
                           .drop("source", "shard"), "quotas")
-    rows = placed.join(quota, placed["source"].eqNullSafe(quota["q_source"]) & (placed["shard"] == quota["q_shard"]))
+    joined = placed.join(quota, placed["source"].eqNullSafe(quota["q_source"]) & (placed["shard"] == quota["q_shard"]))
     ring = Window.partitionBy("source", "shard").orderBy("_order", "size")
-    begin = F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, -1))
-    read = F.least(F.col("blocks") * BLOCK, (most * F.col("cell_size")).cast("long"))
-    rows = rows.withColumn("_begin", F.coalesce(begin, F.lit(0))).withColumn("_read", read)
+    begin = F.sum("_words").over(ring.rowsBetween(Window.unboundedPreceding, -1))
+    read = F.least(F.col("blocks") * BLOCK, (most * F.col("cell_size")).cast("long"))  # the last block of a full cell is a part
+    joined = joined.withColumn("_begin", F.coalesce(begin, F.lit(0))).withColumn("_read", read)
     whole = F.floor(F.col("_read") / F.greatest("cell_size", F.lit(1)))
     part = F.col("_read") - whole * F.col("cell_size")
-    extra = F.least(F.greatest(part - F.col("_begin"), F.lit(0)), F.col("size"))
+    extra = F.least(F.greatest(part - F.col("_begin"), F.lit(0)), F.col("_words"))
     scratch.drop(goals)
-    return rows.select("doc_id", "size", "source", "source_size", "target",
-                       (whole * F.col("size") + extra).cast("long").alias("taken"))
+    return joined.select("doc_id", "source", "_order", "size", "_n", "source_size", "target", whole.alias("_whole"), extra.alias("_extra"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED,
+        shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken) of every row of ``docs``.
+
+    ``size`` is the number of words (null text: 0), ``taken`` how many of them the mix
+    takes, repeats counted, from the document's start round and round. No document gives more than ``most`` times its size. The
+    order in a cell is the MD5 of seed, doc_id and the text's hash, so reruns agree; rows that are alike
+    in id, source and text stand side by side. Null sources are one source.
+    """
+    mixed = _mixed(docs, Scratch(docs.sparkSession), weights, share, most, seed, shard_docs)
+    each = mixed.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    own = F.least(F.greatest(F.col("_extra") - F.col("_i") * F.col("size"), F.lit(0)), F.col("size"))
+    return each.select("doc_id", "size", "source", "source_size", "target", (F.col("_whole") * F.col("size") + own).cast("long").alias("taken"))
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
+def take(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED,
+         shard_docs: int = SHARD_DOCS) -> DataFrame:
     """``docs`` as the mix takes them: whole copies, and one cut after its last taken word.
 
     A document taken twice gives two rows, one not taken none; documents without words
-    go. Rows that repeat doc_id, source and size are all taken as the most taken of them
-    is. Other columns stay (n_chars, if there, is that of the new text).
+    go. Of rows alike in id, source and text together as many copies come out as the mix takes,
+    with the other columns of any one of them. Other columns stay (n_chars, if there, is that of the new text).
     """
-    key, size, of, most, number, part = (spare(n, docs) for n in ("_key", "_size", "_of", "_taken", "_words", "_part"))
-    mixed = mix(docs, **options).groupBy(F.col("doc_id").alias(key), F.col("size").alias(size), F.col("source").alias(of)).agg(
-        F.max("taken").alias(most)).filter(F.col(most) > 0)
-    sized = docs.withColumn(number, n_words())
-    joined = sized.join(mixed, sized["doc_id"].eqNullSafe(mixed[key]) & sized["source"].eqNullSafe(mixed[of])
-                        & (sized[number] == mixed[size]))
-    last = F.floor((F.col(most) - 1) / F.col(size))
-    copies = joined.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    rest = F.least(F.col(size), F.col(most) - F.col(part) * F.col(size))
+    names = [spare(n, docs) for n in ("_key", "_of", "_place", "_size", "_taken", "_alike", "_part", "_row")]
+    key, of, place, size, most_, alike, part, row = names
+    total = F.col("_n") * F.col("_whole") * F.col("size") + F.col("_extra")
+    mixed = _mixed(docs, Scratch(docs.sparkSession), weights, share, most, seed, shard_docs).select(
+        F.col("doc_id").alias(key), F.col("source").alias(of), F.col("_order").alias(place), F.col("size").alias(size),
+        total.alias(most_), F.col("_n").alias(alike)).filter(F.col(most_) > 0)
+    joined = docs.join(mixed, (_order(seed) == mixed[place]) & docs["doc_id"].eqNullSafe(mixed[key]) & docs["source"].eqNullSafe(mixed[of]))
+    several = joined.filter(F.col(alike) > 1).groupBy(key, of, place).agg(F.first(F.struct(*joined.columns)).alias(row)).select(f"{row}.*")
+    single = joined.filter(F.col(alike) == 1).unionByName(several)
+    last = F.floor((F.col(most_) - 1) / F.col(size))
+    copies = single.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rest = F.least(F.col(size), F.col(most_) - F.col(part) * F.col(size))
     space = r"\x20\x09-\x0D"
     words = F.split("text", rf"(?<=[^{space}])(?=[{space}])")
     shorter = F.array_join(F.slice(words, F.lit(1), rest.cast("int")), "")

@@ -13,7 +13,9 @@ elsewhere are O by definition, as no kind has neither.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -117,7 +119,7 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
 def shape(word: str) -> str:
     """Classes of characters with their runs' lengths, up to four of a kind told apart."""
     out, last, run = [], "", 0
-    for c in word[:64]:
+    for c in word:
         k = "d" if "0" <= c <= "9" else "x" if c.islower() else "X" if c.isalpha() else c
         run = run + 1 if k == last else 1
         last = k
@@ -131,7 +133,7 @@ def features(words: list[str]) -> np.ndarray:
     shapes = [shape(w) for w in words]
     names = []
     for i, (w, s) in enumerate(zip(words, shapes, strict=True)):
-        n = len(digits_of(w[:64]))
+        n = len(digits_of(w))
         names.append([f"s{s}", f"p{shapes[i - 1] if i else '^'}", f"n{shapes[i + 1] if i + 1 < len(words) else '$'}",
                       f"d{min(n, 16)}", f"@{'@' in w}{'.' in w}{'-' in w}", f"k{''.join(sorted(set(s)))}",
                       f"c{w.count('.')}{w.count('-')}", f"l{min(len(w), 20)}", f"e{s[:1]}{s[-1:]}"])
@@ -241,7 +243,7 @@ def chains_of(text: str) -> list[list[tuple[int, int]]]:
 def added_spans(text: str, chains: list[list[tuple[int, int]]], labels: list[np.ndarray],
                 base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """What the labels add to ``base``."""
-    found, taken = [], sorted((a, b) for a, _, b in base)
+    found: list[tuple[int, int, int]] = []
     for chain, marks in zip(chains, labels, strict=True):
         i = 0
         while i < len(chain):
@@ -262,7 +264,9 @@ def added_spans(text: str, chains: list[list[tuple[int, int]]], labels: list[np.
                 i = j
             else:
                 i += 1
-    return [s for s in found if not any(a < s[2] and s[0] < b for a, b in taken)]
+    starts = [a for a, _, _ in base]  # in order; furthest[i]: where the first i spans end at most
+    furthest = [0, *accumulate((b for _, _, b in base), max)]
+    return [s for s in found if furthest[bisect_left(starts, s[2])] <= s[0]]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -17,7 +17,7 @@ from ..sources.shared import ship_package
 from .scratch import spare
 from .words import U64, Texts, as_bytes, mix64, owner, runs, windows
 
-SYMBOLS = b"[#*$%&|<>]"
+SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 #: Length in words -> largest share of word characters inside repeated runs of that length.
 LIMITS = {5: 0.40, 6: 0.38, 7: 0.36, 8: 0.34, 9: 0.32, 10: 0.30}

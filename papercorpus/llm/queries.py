@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from hashlib import sha256
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +10,6 @@ from . import (
     chat, context_mixing, fingerprints, hard_negatives, line_dedup, mixing, near_duplicates, nearest, oracles, packing, periodic_runs,
     personal_data, quality_rules, sharding,
 )
-from .words import runs
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,30 +61,9 @@ def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
                         F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
-_FINGERPRINTED = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-                  "near_edited double, near_next double")
-
-
-def _fingerprinted(ids: list, texts: list[bytes], following: list[bytes]) -> pa.Table:
-    whole = [t.decode() for t in texts]
-    changed = [fingerprints.edited(t, n.decode()).encode() for t, n in zip(whole, following, strict=True)]
-    known = list(dict.fromkeys([*texts, *changed, *following]))
-    parts = {}
-    for a, b in runs(known):
-        parts |= zip(known[a:b], zip(*fingerprints.vectors(known[a:b]), strict=True), strict=True)
-    written = {t: fingerprints.encode([v[0]], [v[1]])[0] for t, v in parts.items()}
-    near = [[fingerprints.likeness(parts[t], parts[o]) for t, o in zip(texts, others, strict=True)] for others in (changed, following)]
-    return pa.table({
-        "doc_id": pa.array(ids, pa.int64()), "n_chars": pa.array([len(t) for t in whole], pa.int64()),
-        "edited_sha256": [sha256(t).hexdigest() for t in changed], "fingerprint": [written[t] for t in texts],
-        "edited_fingerprint": [written[t] for t in changed], "near_edited": pa.array(near[0], pa.float64()),
-        "near_next": pa.array(near[1], pa.float64())})
-
-
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
-    ship_package(spark)
-    return fingerprints.with_successor(documents(spark, folder), _fingerprinted, _FINGERPRINTED)
+    return fingerprints.edited_fingerprints(documents(spark, folder))
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, spare
 
 LIMIT = 8 << 20
 #: Bits of the hash, and bits by which the directory grows at once.
@@ -96,7 +96,18 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
                          F.col("bytes").alias("shard_bytes"), "text_bytes")
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write the rows of ``docs`` (unique doc_id) into one folder per shard."""
-    of = shard(docs, limit).select(F.col("doc_id").alias("_of"), F.concat(F.lit("p"), "shard").alias("shard"))
-    docs.drop("shard").join(of, docs["doc_id"].eqNullSafe(of["_of"])).drop("_of").repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, folder: str = "shard") -> None:
+    """Write the rows of ``docs`` into one folder per shard, named ``folder``=p and the shard's digits.
+
+    Rows are placed one by one as ``shard`` places them; rows that share an id need not lie in one shard.
+    A column that has the folder's name already is an error; all columns are written.
+    """
+    if folder.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"{folder} is a column of the documents: name another folder")
+    of, at = spare("_of", docs), spare("_at", docs)
+    # of an id whose rows are dealt to several shards, each row goes to the shard of one of them, by turns of its text's hash
+    shards = shard(docs, limit).groupBy("doc_id").agg(F.array_sort(F.collect_set("shard")).alias("_shards"))
+    named = shards.select(F.col("doc_id").alias(of), F.col("_shards").alias(at))
+    turn = F.pmod(F.xxhash64("text"), F.size(at)).cast("int")
+    placed = docs.join(named, docs["doc_id"].eqNullSafe(named[of])).withColumn(folder, F.concat(F.lit("p"), F.get(at, turn)))
+    placed.drop(of, at).repartition(folder).write.partitionBy(folder).parquet(path)

@@ -102,6 +102,27 @@ def test_field_finds_other_forms(spark):
     assert found == {0: "phone:12:26", 1: "phone:11:23", 2: "", 3: "", 4: "", 5: ""}
 
 
+def test_added_spans_miss_what_the_rules_found():
+    draw = random.Random(4)
+    text = "x" * 60
+    for _ in range(300):
+        base = sorted((a, draw.randrange(4), a + draw.randint(1, 12)) for a in draw.sample(range(48), draw.randint(0, 6)))
+        chain = [(a, a + draw.randint(1, 3)) for a in range(0, 56, 4)]
+        marks = np.array([draw.choice([0, 5]) for _ in chain])  # B-card
+        digits = "".join("4" if any(a <= i < b for (a, b), m in zip(chain, marks, strict=True) if m) else "x" for i in range(60))
+        found = [(a, 2, b) for (a, b), m in zip(chain, marks, strict=True) if m and personal_data.fits("card", digits[a:b])]
+        expected = [s for s in found if not any(a < s[2] and s[0] < b for a, _, b in base)]
+        assert personal_data.added_spans(digits, [chain], [marks], base) == expected
+    one = "call (473) 555-8136 now " * 4000
+    assert personal_data.added_spans(text, [], [], [(0, 1, 5)] * 4000) == [] and len(personal_data.rule_spans(one)) == 0
+
+
+def test_long_words_are_read_whole():
+    assert personal_data.shape("a" * 70 + "1@") == "xxxxd@"
+    long = personal_data.features(["a" * 70 + "12345"])
+    assert (long != personal_data.features(["a" * 75])).any()
+
+
 def test_field_on_held_out_lines():
     rows = personal_data.labelled_rows()
     right = total = 0
@@ -177,9 +198,19 @@ def test_fingerprints(values):
     assert fingerprints.combine(less, part) == whole and fingerprints.combine(whole, part, remove=True) == less
 
 
+def test_likeness_of_many_repeats():
+    line = b"one two three"
+    for n in (32_767, 32_768, 70_000):
+        x, y = (tuple(v[0] for v in fingerprints.vectors([b"\n".join([line] * k)])) for k in (n, n + 1))
+        assert fingerprints.likeness(x, y) == pytest.approx(1.0) and not np.array_equal(x[0], y[0])
+
+
 def test_fingerprint_query(spark, odd, documents):
-    for docs in (documents, odd, odd.filter("doc_id > 1000")):
-        rows = fingerprints.with_successor(docs, queries._fingerprinted, queries._FINGERPRINTED, block=7).collect()
+    sparse = documents.withColumn("doc_id", F.col("doc_id") * 1_000_003_000_000 - 2**60).unionByName(
+        documents.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, 77)))
+    for docs, blocks in ((documents, {"block": 7}), (odd, {"block": 7}), (odd, {"block": 3, "most": 1}), (odd.filter("doc_id > 1000"), {}),
+                         (sparse, {"block": 20, "most": 30}), (sparse.filter("doc_id = 77"), {"most": 9})):
+        rows = fingerprints.edited_fingerprints(docs, **blocks).collect()
         all_ = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         first = {}
         for i, t in all_:
@@ -193,7 +224,7 @@ def test_fingerprint_query(spark, odd, documents):
         assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows) == expected
         for r in rows:
             assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    usual = fingerprints.with_successor(documents, queries._fingerprinted, queries._FINGERPRINTED).filter("n_chars > 200").agg(
+    usual = fingerprints.edited_fingerprints(documents).filter("n_chars > 200").agg(
         F.avg("near_edited"), F.avg("near_next")).first()
     assert usual[0] > 0.35 and usual[1] < 0.15
 
