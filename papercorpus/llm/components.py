@@ -33,7 +33,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             least.select("a", F.col("least").alias("b"))))
 
     def sums(edges: DataFrame):
-        return edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        wide = [F.sum(F.xxhash64(F.lit(salt), "a", "b").cast("decimal(38,0)")) for salt in (1, 2)]
+        return edges.agg(F.count("*"), *wide).first()
 
     edges = scratch.store(pairs(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "links")
     seen = sums(edges)

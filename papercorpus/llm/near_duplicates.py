@@ -4,8 +4,8 @@ Two permutations of the 2^32 shingle numbers make all signature coordinates: the
 scatters a document's shingles once, the second is read at positions shifted round the
 circle by the number of the coordinate. Six coordinates make a band, 32 bands in all: a
 pair at 0.85 shares no band with a chance of about 3e-7, at 0.8 of 6e-5. For sets that are
-still to be told apart (step 3) one bit of each of 2,048 coordinates is made: a pair at s
-differs in about 1,024 * (1 - s) of them, and pairs are passed over only beyond six standard
+still to be told apart (step 3) one bit of each of 1,024 coordinates is made: a pair at s
+differs in about 512 * (1 - s) of them, and pairs are passed over only beyond six standard
 deviations of that (a chance of 1e-9).
 
 Links are found without writing out all pairs of a bucket:
@@ -19,8 +19,10 @@ Links are found without writing out all pairs of a bucket:
    hub first (any order common to the hub's classes is exact; this one is short). Of two
    sets as alike as asked, the first n - ceil(2 * limit / (1 + limit) * n) + 1 of the
    smaller and the first n - ceil(limit * n) + 1 of the larger one share a shingle, so
-   classes of different components meet on these, not on what all of them share. Pairs
-   that sizes and bits do not rule out are checked on full sets.
+   classes of different components meet on these, not on what all of them share. A pair
+   meets once, not at every shingle that it shares: each row also has the shingles just before
+   its own in the order, and rows that have one of these in common leave the pair to an
+   earlier meeting. Pairs that sizes and bits do not rule out are checked on full sets.
 
 So a bucket of thousands of copies costs a row per copy, and no link that would join two
 components is left out.
@@ -42,7 +44,9 @@ from .words import U64, Texts, as_bytes, mix64, runs, windows
 ROWS, BANDS = 6, 32
 SHINGLE, PERCENT = 5, 80
 U32 = np.uint32
-FINE = 2048
+FINE = 1024
+#: Shingles before a row's own that it carries: alike sets nearly always share one of so many.
+BEFORE = 4
 BITS = [f"bits_{k}" for k in range(FINE // 64)]
 
 
@@ -160,8 +164,8 @@ def _times(x: pa.Scalar, y: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
 def _centrality(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         scores = [float(_times(x, y)[1].mean()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("hub"), pa.array(scores, pa.float64())],
-                                         names=["node", "hub", "score"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "size", "hub")), pa.array(scores, pa.float64())],
+                                         names=["node", "size", "hub", "score"])
 
 
 def _fine_bits(sets: list[np.ndarray], together: int = 256) -> np.ndarray:
@@ -178,22 +182,25 @@ def _fine_bits(sets: list[np.ndarray], together: int = 256) -> np.ndarray:
 def _rarest(percent: int):
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, found, early = [], [np.zeros(0, U64)], [np.zeros(0, bool)]
+            sizes, found, early, before = [], [np.zeros(0, np.int32)], [np.zeros(0, bool)], []
             whole: list[np.ndarray] = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 u, times = _times(x, y)
                 order = np.argsort(times, kind="stable")  # u is in order, so ties are
-                found.append(u[order][: len(u) + 1 + -percent * len(u) // 100])
-                sizes.append(len(found[-1]))
+                prefix = (u[order][: len(u) + 1 + -percent * len(u) // 100] >> U64(32)).astype(U32).view(np.int32)
+                found.append(prefix)
+                sizes.append(len(prefix))
                 early.append(np.arange(sizes[-1]) <= len(u) + -2 * percent * len(u) // (100 + percent))
+                values = prefix.tolist()
+                before += [values[max(0, i - BEFORE) : i] for i in range(len(values))]
                 whole.append(u)
             bits = _fine_bits(whole)
             take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node").take(take), batch.column("hub").take(take),
-                 pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(early)),
+                [*(batch.column(c).take(take) for c in ("node", "hub", "size", "component")),
+                 pa.array(np.concatenate(found)), pa.array(np.concatenate(early)), pa.array(before, pa.list_(pa.int32())),
                  *(pa.array(np.ascontiguousarray(b)).take(take) for b in bits.view(np.int64).T)],
-                names=["node", "hub", "shingle", "early", *BITS])
+                names=["node", "hub", "size", "component", "shingle", "early", "before", *BITS])
 
     return rarest
 
@@ -227,10 +234,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         F.min("doc_id").alias("node"), (-F.count("*")).alias("rank"))
     classes = scratch.store(filled.select("size", "one", "two", "doc_id", "bands").join(
         kinds.withColumnRenamed("node", "doc_id"), ["size", "one", "two", "doc_id"]), "classes")
-    members = classes.select(F.col("doc_id").alias("node"), "size", "rank", F.explode("bands").alias("band")).distinct()
-    hubs = members.groupBy("band").agg(F.min(F.struct("rank", "node"))["node"].alias("hub"),
-                                       F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = scratch.store(members.drop("rank").join(hubs.filter("low < high").select("band", "hub"), "band"), "buckets")
+    members = classes.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "size", "rank", F.explode("bands").alias("band"))
+    first_hub = F.min(F.struct("rank", "node", "size")).alias("first")
+    hubs = members.groupBy("band").agg(first_hub, F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select(
+        "band", F.col("first.node").alias("hub"), F.col("first.size").alias("hub_size"))
+    shared = scratch.store(members.drop("rank").join(hubs, "band"), "buckets")
 
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
     sets = scratch.store(
@@ -243,14 +251,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     def alike(a: str, b: str):
         return (100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b)))
 
-    sizes = shared.groupBy("node").agg(F.min("size").alias("center_size")).withColumnRenamed("node", "center")
-
     def to_check(spokes: DataFrame) -> DataFrame:
-        """Pairs (a, b), a < b, of each node and its center (node, size, center)."""
-        return spokes.filter("node <> center").join(sizes, "center").filter(alike("size", "center_size")).select(
+        """Pairs (a, b), a < b, of each node and its center (node, size, center, center_size)."""
+        return spokes.filter("node <> center").filter(alike("size", "center_size")).select(
             F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
 
-    first = to_check(shared.select("node", "size", F.col("hub").alias("center")))
+    first = to_check(shared.select("node", "size", F.col("hub").alias("center"), F.col("hub_size").alias("center_size")))
     links = scratch.store(_checked(first, sets, percent), "links")
     # copies in a class, and rows that share an id, are linked without a check
     same = filled.join(kinds, ["size", "one", "two"]).select(
@@ -274,19 +280,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         F.collect_list("x").alias("sets")).select("hub", common("sets").alias("y")), "orders")
 
     def ordered(of: DataFrame) -> DataFrame:
-        return of.select("node", "hub").join(set_as("node", "x"), "node").join(orders, "hub").select("node", "hub", "x", "y")
+        return of.join(set_as("node", "x"), "node").join(orders, "hub").select("node", "hub", "size", "component", "x", "y")
 
-    central = scratch.store(ordered(nodes).mapInArrow(_centrality, "node bigint, hub bigint, score double"), "centrality")
-    centers = central.groupBy("hub").agg(F.max(F.struct("score", "node"))["node"].alias("center"))
-    second = to_check(nodes.join(centers, "hub").select("node", "size", "center")).join(first, ["a", "b"], "left_anti")
+    central = scratch.store(ordered(nodes).mapInArrow(_centrality, "node bigint, size bigint, hub bigint, score double"), "centrality")
+    centers = central.groupBy("hub").agg(F.max(F.struct("score", "node", "size")).alias("best")).select(
+        "hub", F.col("best.node").alias("center"), F.col("best.size").alias("center_size"))
+    second = to_check(nodes.join(centers, "hub").select("node", "size", "center", "center_size")).join(first, ["a", "b"], "left_anti")
     links_2 = scratch.store(_checked(second, sets, percent), "links")
     scratch.drop(nodes, central)
     nodes = still_open(links.unionByName(links_2), "open-2")
-    rare = ordered(nodes).mapInArrow(_rarest(percent), "node bigint, hub bigint, shingle bigint, early boolean" + "".join(f", {b} bigint" for b in BITS))
-    rest = scratch.store(rare.join(nodes, ["node", "hub"]), "open-prefixes")
+    rest = scratch.store(ordered(nodes).mapInArrow(
+        _rarest(percent), "node bigint, hub bigint, size bigint, component bigint, shingle int, early boolean, before array<int>"
+        + "".join(f", {b} bigint" for b in BITS)), "open-prefixes")
 
     def side(name: str, of: DataFrame) -> DataFrame:
-        return of.select(*(F.col(c).alias(f"{c}_{name}") for c in ("hub", "shingle", "size", "component", *BITS)),
+        return of.select(*(F.col(c).alias(f"{c}_{name}") for c in ("hub", "shingle", "size", "component", "before", *BITS)),
                            F.col("node").alias(name))
 
     differing = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITS), F.lit(0))
@@ -295,7 +303,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     smaller = (F.col("size_a") < F.col("size_b")) | (F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b"))
     open_pairs = side("a", rest.filter("early")).join(
         side("b", rest), (F.col("hub_a") == F.col("hub_b")) & (F.col("shingle_a") == F.col("shingle_b")) & smaller
-        & (F.col("component_a") != F.col("component_b")) & alike("size_a", "size_b") & near).select(
+        & (F.col("component_a") != F.col("component_b")) & alike("size_a", "size_b") & near
+        & ~F.arrays_overlap("before_a", "before_b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = scratch.store(_checked(open_pairs, sets, percent), "links")
     scratch.drop(nodes, orders, rest, shared, sets)
