@@ -17,8 +17,8 @@ add up the scores of their words. The work is laid out so:
 
 * documents are dealt into blocks of bounded size; each block hands on its distinct words
   with counts, so a frequent word costs one row per block, not per occurrence;
-* words are counted over all blocks, and their contexts into tables of fixed size (a
-  parameter; the exact word counts grow with the corpus, whatever the tables hold);
+* words are counted over all blocks, and their contexts into tables of fixed size (2^SLOT_BITS
+  places for each predictor; the exact word counts grow with the corpus, whatever the tables hold);
 * each lane of words learns its own weights, which are averaged;
 * each block gets the scores of its own words back and adds them up.
 """
@@ -118,22 +118,28 @@ def add_pieces(table: pa.Table) -> pa.Table:
                      "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
+def interleaved(tables: np.ndarray) -> np.ndarray:
+    """Both counts of a slot side by side, as one number, so that they are looked up together."""
+    return np.ascontiguousarray(tables.transpose(0, 2, 1), np.float32).view(np.uint64)[..., 0]
+
+
 def inputs(bits: Bits, tables: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of each predictor (bits x ORDERS) and the gate of each bit.
 
     ``own``: whether a bit's word is in the counts once more than it should be.
     """
+    tables = interleaved(tables) if tables.ndim == 3 else tables
     x = np.empty((len(bits.ones), ORDERS), np.float32)
     gate = np.zeros(len(bits.ones), np.int64)
     for k in range(ORDERS):
-        zeros, ones = tables[k, 0][bits.slots[k]], tables[k, 1][bits.slots[k]]
+        zeros, ones = tables[k][bits.slots[k]].view(np.float32).reshape(-1, 2).T
         if own is not None:
             ones = np.maximum(ones - own * bits.ones, 0)
             zeros = np.maximum(zeros - own * (1 - bits.ones), 0)
         seen = zeros + ones
         x[:, k] = np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR)))
-        level = np.searchsorted([2.0, 8.0, 64.0], seen, side="right")
-        gate = np.where(seen > 0, 4 * k + level, gate)
+        level = (seen >= 2).view(np.int8) + (seen >= 8).view(np.int8) + (seen >= 64).view(np.int8)
+        np.copyto(gate, level + np.int8(4 * k), where=seen > 0)
     return x, gate
 
 
@@ -166,14 +172,15 @@ class Mixer:
             self.moved[:, k] += step**2
             self.weights[:, k] += RATE * step / np.sqrt(self.moved[:, k])
         level = np.clip(np.rint(odds * 2 + 16), 0, LEVELS - 1).astype(np.int64)
-        np.add.at(self.refined, (gate, level, ones.astype(np.int64)), 1.0)
+        flat = (gate * LEVELS + level) * 2 + ones
+        self.refined += np.bincount(flat, minlength=GATES * LEVELS * 2).reshape(GATES, LEVELS, 2)
 
 
 def learn(broadcast):
     """Online pass: the log-probability of each word as met, and at the end the mixer."""
     def learned(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["word", "count", "log_p", "part", "place", "value"]
-        mixer, tables = Mixer(), broadcast.value
+        mixer, tables = Mixer(), interleaved(broadcast.value)
         kinds = [pa.binary(), pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.float64()]
 
         def rows(*columns) -> pa.RecordBatch:
@@ -205,7 +212,7 @@ def score(broadcast, total: int, share: float):
     """(word, count, score): log10 probability of each word."""
     def scored(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, weights, refined = broadcast.value
-        mixer = Mixer(weights, refined)
+        mixer, tables = Mixer(weights, refined), interleaved(tables)
         for words, counts in batches_of(table):
             bits = bits_of(words)
             x, gate = inputs(bits, tables, None)

@@ -111,8 +111,8 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line = np.concatenate([text, text, np.arange(q - p)]) + p
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.view(np.int64)), pa.array(kind),
-                 *(batch.column(c).take(pa.array(line)) for c in ("one", "two", "doc_id", "text_key", "line"))],
-                names=["key", "kind", "one", "two", "doc_id", "text_key", "line"])
+                 *(batch.column(c).take(pa.array(line)) for c in ("one", "doc_id", "text_key", "line"))],
+                names=["key", "kind", "one", "doc_id", "text_key", "line"])
 
 
 def within_one(x: list[bytes], y: list[bytes]) -> bool:
@@ -174,10 +174,11 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, edit_words: int = EDIT_WOR
     kinds = scratch.store(found.groupBy("one", "two").agg(
         F.min(place).alias("place"), *(F.min(k).alias(k) for k in KEYS)), "kinds-of-line")
 
-    halves = kinds.filter(F.col(KEYS[0]).isNotNull()).select("one", "two", F.explode(F.array_distinct(F.array(*KEYS))).alias("half"))
-    twice = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    paired = halves.join(twice, "half", "left_semi").select("one", "two").distinct()
-    wanted = scratch.store(kinds.join(paired, ["one", "two"]).select("one", "two", "place"), "wanted")
+    # half lines held by two kinds or more; the others are most, and go before their kinds are shuffled
+    halves = kinds.filter(F.col(KEYS[0]).isNotNull()).select("one", F.explode(F.array_distinct(F.array(*KEYS))).alias("half"))
+    twice = halves.groupBy("half").agg(F.min("one").alias("low"), F.max("one").alias("high")).filter("low < high")
+    paired = halves.join(twice.select("half"), "half", "left_semi").select("one").distinct()
+    wanted = scratch.store(kinds.join(paired, "one", "left_semi").select("one", "two", "place"), "wanted")
 
     per_text = scratch.store(wanted.groupBy(F.col("place.text_key").alias("text_key")).agg(
         F.collect_list(F.struct("one", "two", F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line"))).alias("wanted")), "per-text")
@@ -192,19 +193,18 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, edit_words: int = EDIT_WOR
         "one", "two", "doc_id", "text_key", "line", "words").filter("words is not null"), "line-texts")
 
     rows = scratch.store(lines.mapInArrow(
-        _variants, "key bigint, kind tinyint, one bigint, two bigint, doc_id bigint, text_key bigint, line int"), "variants")
-    at = F.struct("doc_id", "text_key", "line", "one", "two")
+        _variants, "key bigint, kind tinyint, one bigint, doc_id bigint, text_key bigint, line int"), "variants")
+    at = F.struct("doc_id", "text_key", "line", "one")
     groups = rows.groupBy("key").agg(
         F.count("*").alias("n"),
         *(F.min(F.when(F.col("kind") == k, at)).alias(f"first_{k}") for k in range(3))).filter("n > 1").drop("n")
     partner = F.when(F.col("kind") == 0, F.col("first_0")).when(F.col("kind") == 1, F.col("first_2")).otherwise(F.col("first_1"))
     where = [F.struct(*(F.col(f"{side}.{c}") for c in ("doc_id", "text_key", "line"))) for side in ("partner", "at")]
-    earlier = rows.join(groups, "key").select("one", "two", at.alias("at"), partner.alias("partner")).filter(where[0] < where[1])
-    pairs = scratch.store(earlier.groupBy("one", "two").agg(F.min("partner").alias("partner")), "partners")
-    others = lines.select(F.col("one").alias("p_one"), F.col("two").alias("p_two"), F.col("words").alias("other"))
+    earlier = rows.join(groups, "key").select("one", at.alias("at"), partner.alias("partner")).filter(where[0] < where[1])
+    pairs = scratch.store(earlier.groupBy("one").agg(F.min("partner").alias("partner")), "partners")
+    others = lines.select(F.col("one").alias("p_one"), F.col("words").alias("other"))
     near = scratch.store(
-        pairs.select("one", "two", F.col("partner.one").alias("p_one"), F.col("partner.two").alias("p_two"))
-        .join(lines.select("one", "two", "words"), ["one", "two"]).join(others, ["p_one", "p_two"])
+        pairs.select("one", F.col("partner.one").alias("p_one")).join(lines.select("one", "two", "words"), "one").join(others, "p_one")
         .select("one", "two", "words", "other").mapInArrow(_verified, "one bigint, two bigint").distinct(), "near-lines")
     scratch.drop(rows, lines, wanted, per_text, pairs)
 
