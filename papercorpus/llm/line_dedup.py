@@ -191,6 +191,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, edit_words: int = EDIT_WOR
         F.get(parts, w["line"]).cast("binary").alias("words")))))  # a text is split once, whatever is picked from it
     lines = scratch.store(texts.join(per_text, "text_key").select("text_key", F.inline(picked)).select(
         "one", "two", "doc_id", "text_key", "line", "words").filter("words is not null"), "line-texts")
+    scratch.drop(wanted, per_text)
 
     rows = scratch.store(lines.mapInArrow(
         _variants, "key bigint, kind tinyint, one bigint, doc_id bigint, text_key bigint, line int"), "variants")
@@ -202,11 +203,12 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, edit_words: int = EDIT_WOR
     where = [F.struct(*(F.col(f"{side}.{c}") for c in ("doc_id", "text_key", "line"))) for side in ("partner", "at")]
     earlier = rows.join(groups, "key").select("one", at.alias("at"), partner.alias("partner")).filter(where[0] < where[1])
     pairs = scratch.store(earlier.groupBy("one").agg(F.min("partner").alias("partner")), "partners")
+    scratch.drop(rows)
     others = lines.select(F.col("one").alias("p_one"), F.col("words").alias("other"))
     near = scratch.store(
         pairs.select("one", F.col("partner.one").alias("p_one")).join(lines.select("one", "two", "words"), "one").join(others, "p_one")
         .select("one", "two", "words", "other").mapInArrow(_verified, "one bigint, two bigint").distinct(), "near-lines")
-    scratch.drop(rows, lines, wanted, per_text, pairs)
+    scratch.drop(lines, pairs)
 
     late = found.join(kinds.select("one", "two", "place"), ["one", "two"]).join(
         near.withColumn("near", F.lit(True)), ["one", "two"], "left").filter(F.col("near") | (place != F.col("place")))

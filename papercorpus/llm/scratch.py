@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import scratch_path, ship_package
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write go as soon as it ends, not when the driver next collects garbage."""
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+
+
 class Scratch:
     """Stores tables as Parquet in the shared folder and deletes those no longer read.
 
     A stored table survives lost executors and has a measured size. The ones that a
-    returned DataFrame still reads stay, as checkpoint files do.
+    returned DataFrame still reads stay, as checkpoint files do. Nothing reads the
+    shuffles behind a stored table again, so they are freed with its write.
     """
 
     def __init__(self, spark: SparkSession):
@@ -21,7 +39,8 @@ class Scratch:
 
     def store(self, df: DataFrame, label: str) -> DataFrame:
         path = scratch_path(self.spark, label)
-        df.write.parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(table)] = path
         return table
