@@ -7,18 +7,20 @@ log-odds are added up with weights from a set that is gated by the longest conte
 before and how often. The weights are learnt online, by gradient steps over a stream of
 bits in small batches; each bit is predicted without its own occurrence, as it would be
 in a new text. A last table refines the mixed probability by gate and level, adapting to
-the bits as they come. Every distinct word counts once here, and each is met as a new one:
-the frequency of words is left to the last step, where a word's probability is shared
-between this model and the word's own frequency, in one proportion for all words, chosen
-on the same terms over all words of the training texts.
+the bits as they come. Counts, gradients and refinement weigh a bit by the occurrences
+of its word in the training texts. At last a word's probability is shared between this
+model and the word's own frequency, in one proportion for all words, chosen on the same
+terms over all words of the training texts.
 
-A word's bits depend on the word alone, so every distinct word is scored once and texts
-add up the scores of their words. The work is laid out so:
+A bit depends on the word up to it alone, so a prefix that many words of a batch begin
+with is read once with all their occurrences, every distinct word is scored once, and
+texts add up the scores of their words. The work is laid out so:
 
 * documents are dealt into blocks of bounded size; each block hands on its distinct words
   with counts, so a frequent word costs one row per block, not per occurrence;
-* words are counted over all blocks, and their contexts into tables of fixed size (2^SLOT_BITS
-  places for each predictor; the exact word counts grow with the corpus, whatever the tables hold);
+* words are counted over all blocks, and their contexts into tables that are broadcast, so of a
+  size that is an argument (2^slot_bits places for each predictor, 8 bytes each; the exact word
+  counts grow with the corpus, whatever the tables hold);
 * each lane of words learns its own weights, which are averaged;
 * each block gets the scores of its own words back and adds them up.
 """
@@ -47,32 +49,46 @@ BLOCK_BYTES, LEAST_BLOCKS, LANE_WORDS = 8 << 20, 64, 250_000
 STEP, RATE, PRIOR = 2048, 0.05, 0.1
 SHARES = tuple(1 - 2.0**-(k / 4) for k in range(1, 40))
 END = b"\n"
-BATCH = 1 << 16
+BATCH = 1 << 17
 
 
 class Bits(NamedTuple):
-    """The bits of a run of words: slots (ORDERS x bits), values, and the word of each bit."""
+    """The bits of the distinct prefixes of a run of words, eight for each prefix's last byte.
+
+    ``slots`` (ORDERS x bits), ``ones`` (values) and ``weight`` (occurrences) are those of bits;
+    ``prefix`` and ``word`` are those of each byte of the words.
+    """
 
     slots: np.ndarray
     ones: np.ndarray
+    weight: np.ndarray
+    prefix: np.ndarray
     word: np.ndarray
 
+    def by_word(self, log_p: np.ndarray, words: int) -> np.ndarray:
+        """Sum over each word of what its bits hold."""
+        return np.bincount(self.word, log_p.reshape(-1, 8).sum(1)[self.prefix], words)
 
-def bits_of(words: list[bytes]) -> Bits:
+
+def bits_of(words: list[bytes], counts: np.ndarray | None = None, slot_bits: int = SLOT_BITS) -> Bits:
     """Words end to end, each closed by a space unless it is the end sign."""
     closed = [w if w == END else w + b" " for w in words]
     buf = np.frombuffer(b"".join(closed), np.uint8)
     sizes = np.fromiter(map(len, closed), np.int64, len(closed))
     start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    word = np.repeat(np.arange(len(words)), sizes)
     at = np.arange(len(buf))
     up, down = powers(len(buf) + 1)
     total = np.concatenate([np.zeros(1, U64), np.cumsum(BYTE[buf] * up[: len(buf)], dtype=U64)])
-    node = np.empty((len(buf), 8), U32)
-    value = buf.astype(U32)
+    whole = mix64((total[1:] - total[start]) * down[start] + (at - start + 1).astype(U64))
+    _, at, prefix = np.unique(whole, return_index=True, return_inverse=True)
+    weight = np.bincount(prefix, None if counts is None else counts[word], len(at))
+    start, value = start[at], buf[at].astype(U32)
+    node = np.empty((len(at), 8), U32)
     for bit in range(8):
         node[:, bit] = (U32(1) << U32(bit)) | (value >> U32(8 - bit))
     node *= U32(0x9E3779B1)
-    slots = np.empty((ORDERS, len(buf) * 8), U32)
+    slots = np.empty((ORDERS, len(at) * 8), U32)
     for k in range(ORDERS):
         if k == 0:
             context = mix64(np.minimum(at - start, 15).astype(U64) + U64(77))
@@ -81,9 +97,8 @@ def bits_of(words: list[bytes]) -> Bits:
             context = mix64((total[at] - total[a]) * down[a] + ((at - a) * 8 + k).astype(U64))
         hashed = ((context >> U64(32)).astype(U32)[:, None] ^ node) * U32(0x85EBCA6B)
         hashed ^= hashed >> U32(15)
-        slots[k] = (hashed * U32(0xC2B2AE35) >> U32(32 - SLOT_BITS)).ravel()
-    ones = np.unpackbits(buf)
-    return Bits(slots, ones, np.repeat(np.arange(len(words)), sizes * 8))
+        slots[k] = (hashed * U32(0xC2B2AE35) >> U32(32 - slot_bits)).ravel()
+    return Bits(slots, np.unpackbits(buf[at]), np.repeat(weight, 8), prefix, word)
 
 
 def batches_of(table: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
@@ -97,19 +112,20 @@ def batches_of(table: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], n
                 yield words[a:b], counts[a:b]
 
 
-def count_contexts(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_contexts(slot_bits: int):
     """Counts of zeros and ones in each slot, in compressed pieces of the tables."""
-    held = np.zeros((ORDERS, 2, 1 << SLOT_BITS))
-    for words, _ in batches_of(table):
-        bits = bits_of(words)
-        for value in (0, 1):
-            part = np.flatnonzero(bits.ones == value)
+    def counted(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, places = np.zeros((ORDERS, 2 << slot_bits)), 2 * PIECE
+        for words, counts in batches_of(table):
+            bits = bits_of(words, counts, slot_bits)
             for k in range(ORDERS):
-                np.add.at(held[k, value], bits.slots[k, part], 1.0)
-    rows = [(k, p, held[k, :, p * PIECE : (p + 1) * PIECE]) for k in range(ORDERS) for p in range((1 << SLOT_BITS) // PIECE)]
-    rows = [(k, p, zlib.compress(x.tobytes(), 1)) for k, p, x in rows if x.any()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
-                                      pa.array([r[2] for r in rows], pa.binary())], names=["k", "piece", "counts"])
+                held[k] += np.bincount(bits.slots[k].astype(np.int64) * 2 + bits.ones, bits.weight, 2 << slot_bits)
+        rows = [(k, p, held[k, p * places : (p + 1) * places]) for k in range(ORDERS) for p in range(-(-held.shape[1] // places))]
+        rows = [(k, p, zlib.compress(x.tobytes(), 1)) for k, p, x in rows if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+                                          pa.array([r[2] for r in rows], pa.binary())], names=["k", "piece", "counts"])
+
+    return counted
 
 
 def add_pieces(table: pa.Table) -> pa.Table:
@@ -118,21 +134,16 @@ def add_pieces(table: pa.Table) -> pa.Table:
                      "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def interleaved(tables: np.ndarray) -> np.ndarray:
-    """Both counts of a slot side by side, as one number, so that they are looked up together."""
-    return np.ascontiguousarray(tables.transpose(0, 2, 1), np.float32).view(np.uint64)[..., 0]
-
-
 def inputs(bits: Bits, tables: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of each predictor (bits x ORDERS) and the gate of each bit.
 
-    ``own``: whether a bit's word is in the counts once more than it should be.
+    ``tables``: for each predictor zeros and ones of each slot, side by side. ``own``: how
+    often a bit itself is in the counts where it should not be.
     """
-    tables = interleaved(tables) if tables.ndim == 3 else tables
     x = np.empty((len(bits.ones), ORDERS), np.float32)
     gate = np.zeros(len(bits.ones), np.int64)
     for k in range(ORDERS):
-        zeros, ones = tables[k][bits.slots[k]].view(np.float32).reshape(-1, 2).T
+        zeros, ones = tables[k].reshape(-1, 2)[bits.slots[k]].T
         if own is not None:
             ones = np.maximum(ones - own * bits.ones, 0)
             zeros = np.maximum(zeros - own * (1 - bits.ones), 0)
@@ -164,23 +175,25 @@ class Mixer:
         near = share[gate, low] * (low + 1 - place) + share[gate, low + 1] * (place - low)
         return np.clip((p + near) / 2, 1e-7, 1 - 1e-7)
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, odds: np.ndarray, p: np.ndarray, ones: np.ndarray) -> None:
-        total = np.bincount(gate, minlength=GATES)
+    def learn(self, x: np.ndarray, gate: np.ndarray, odds: np.ndarray, p: np.ndarray, ones: np.ndarray, weight: np.ndarray) -> None:
+        """A step over a batch of bits, each as many times as ``weight`` says."""
+        total = np.bincount(gate, weight, GATES)
+        off = weight * (ones - p)
         for k in range(ORDERS):
-            step = np.bincount(gate, (ones - p) * x[:, k], GATES)
+            step = np.bincount(gate, off * x[:, k], GATES)
             step /= np.maximum(total, 1)
             self.moved[:, k] += step**2
             self.weights[:, k] += RATE * step / np.sqrt(self.moved[:, k])
         level = np.clip(np.rint(odds * 2 + 16), 0, LEVELS - 1).astype(np.int64)
         flat = (gate * LEVELS + level) * 2 + ones
-        self.refined += np.bincount(flat, minlength=GATES * LEVELS * 2).reshape(GATES, LEVELS, 2)
+        self.refined += np.bincount(flat, weight, GATES * LEVELS * 2).reshape(GATES, LEVELS, 2)
 
 
-def learn(broadcast):
+def learn(broadcast, slot_bits: int):
     """Online pass: the log-probability of each word as met, and at the end the mixer."""
     def learned(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["word", "count", "log_p", "part", "place", "value"]
-        mixer, tables = Mixer(), interleaved(broadcast.value)
+        mixer, tables = Mixer(), broadcast.value
         kinds = [pa.binary(), pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.float64()]
 
         def rows(*columns) -> pa.RecordBatch:
@@ -191,7 +204,7 @@ def learn(broadcast):
         met = False
         for words, counts in batches_of(table):
             met = True
-            bits = bits_of(words)
+            bits = bits_of(words, counts, slot_bits)
             x, gate = inputs(bits, tables, np.ones(len(bits.ones), np.float32))
             log_p = np.zeros(len(bits.ones))
             for a in range(0, len(log_p), STEP):
@@ -199,8 +212,8 @@ def learn(broadcast):
                 odds, p = mixer.mixed(x[s], gate[s])
                 q = mixer.probability(odds, p, gate[s])
                 log_p[s] = np.log(np.where(bits.ones[s] == 1, q, 1 - q))
-                mixer.learn(x[s], gate[s], odds, p, bits.ones[s])
-            yield rows(words, counts, np.bincount(bits.word, log_p, len(words)), None, None, None)
+                mixer.learn(x[s], gate[s], odds, p, bits.ones[s], bits.weight[s])
+            yield rows(words, counts, bits.by_word(log_p, len(words)), None, None, None)
         if met:
             for part, values in (("weights", mixer.weights.ravel()), ("refined", mixer.refined.ravel())):
                 yield rows(None, None, None, [part] * len(values), np.arange(len(values)), values)
@@ -208,17 +221,17 @@ def learn(broadcast):
     return learned
 
 
-def score(broadcast, total: int, share: float):
+def score(broadcast, total: int, share: float, slot_bits: int):
     """(word, count, score): log10 probability of each word."""
     def scored(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, weights, refined = broadcast.value
-        mixer, tables = Mixer(weights, refined), interleaved(tables)
+        mixer = Mixer(weights, refined)
         for words, counts in batches_of(table):
-            bits = bits_of(words)
+            bits = bits_of(words, slot_bits=slot_bits)
             x, gate = inputs(bits, tables, None)
             odds, p = mixer.mixed(x, gate)
             q = mixer.probability(odds, p, gate)
-            log_p = np.bincount(bits.word, np.log(np.where(bits.ones == 1, q, 1 - q)), len(words))
+            log_p = bits.by_word(np.log(np.where(bits.ones == 1, q, 1 - q)), len(words))
             with np.errstate(divide="ignore"):
                 own = np.log(counts * (share / max(total, 1)))
             both = np.logaddexp(own, log_p + np.log(1 - share)) / np.log(10)
@@ -267,7 +280,7 @@ SCHEMA = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, tra
           "score double, bits_per_byte double")
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
     """SCHEMA of every row of ``docs`` (doc_id, text, ...), learnt from those not held out.
 
     ``held_out``: crc32 of the id as text modulo 7 is 2 (a null id counts as ''). Null
@@ -275,7 +288,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     words' counts with one added; ``score`` the model's log10 probability of words and
     end; ``bits_per_byte`` the same in bits over the bytes of text and end. Rows that
     repeat a document are scored, and learnt from, each for itself. Words of any length
-    are taken whole. With no training text all counts are 0 and the untrained mixer is used.
+    are taken whole. ``slot_bits``: each predictor counts in 2^slot_bits places, which contexts
+    that hash alike share; the tables are broadcast, 48 * 2^slot_bits bytes. With no training text all counts are 0 and the untrained mixer is used.
     """
     scratch = Scratch(docs.sparkSession)
     spark = docs.sparkSession
@@ -291,14 +305,15 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     lanes = max(8, -(-all_words // LANE_WORDS))
     stream = words.filter("count > 0").repartition(lanes, "word").sortWithinPartitions("word")
-    pieces = stream.mapInArrow(count_contexts, "k int, piece int, counts binary").groupBy("k", "piece").applyInArrow(
+    pieces = stream.mapInArrow(count_contexts(slot_bits), "k int, piece int, counts binary").groupBy("k", "piece").applyInArrow(
         add_pieces, "k int, piece int, counts binary")
-    tables = np.zeros((ORDERS, 2, 1 << SLOT_BITS), np.float32)
-    for row in pieces.toLocalIterator():  # tables of fixed size, whatever the corpus
-        tables[row["k"], :, row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = np.frombuffer(row["counts"], np.float32).reshape(2, -1)
+    tables = np.zeros((ORDERS, 2 << slot_bits), np.float32)
+    for row in pieces.toLocalIterator():  # of the size that slot_bits sets, whatever the corpus
+        part = np.frombuffer(row["counts"], np.float32)
+        tables[row["k"], row["piece"] * 2 * PIECE :][: len(part)] = part
     shared = spark.sparkContext.broadcast(tables)
     online = scratch.store(stream.mapInArrow(
-        learn(shared), "word binary, count bigint, log_p double, part string, place int, value double"), "online")
+        learn(shared, slot_bits), "word binary, count bigint, log_p double, part string, place int, value double"), "online")
     mixer = Mixer()
     weights, refined = mixer.weights.ravel(), mixer.refined.ravel()
     lanes_met = F.count("*").alias("lanes")
@@ -313,8 +328,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     share = max(zip(chosen, SHARES, strict=True), key=lambda x: (x[0] is not None, x[0] or 0.0))[1]
     shared.destroy()
     final = spark.sparkContext.broadcast((tables, weights.reshape(GATES, ORDERS), refined.reshape(GATES, LEVELS, 2)))
-    scores = scratch.store(words.repartition(lanes, "word").mapInArrow(
-        score(final, total, share), "word binary, count bigint, score double"), "word-scores")
+    scores = scratch.store(words.repartition(lanes, "word").sortWithinPartitions("word").mapInArrow(
+        score(final, total, share, slot_bits), "word binary, count bigint, score double"), "word-scores")
     final.destroy()
     scratch.drop(words, online)
     known = found.select("block", "word").join(scores, "word")

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -257,13 +259,85 @@ def test_model_learns(documents):
 def test_bits_are_a_distribution():
     """Probabilities of all bytes after a prefix sum to one."""
     draw = np.random.default_rng(3)
-    tables = draw.gamma(0.3, 4, (context_mixing.ORDERS, 2, 1 << context_mixing.SLOT_BITS)).astype(np.float32)
+    tables = draw.gamma(0.3, 4, (context_mixing.ORDERS, 2 << context_mixing.SLOT_BITS)).astype(np.float32)
     mixer = context_mixing.Mixer(draw.normal(0.3, 0.1, (context_mixing.GATES, context_mixing.ORDERS)))
     total = 0.0
     for last in range(256):
         bits = context_mixing.bits_of([b"ab" + bytes([last])])
         x, gate = context_mixing.inputs(bits, tables, None)
         odds, p = mixer.mixed(x, gate)
-        q = mixer.probability(odds, p, gate)[16:24]
-        total += float(np.prod(np.where(bits.ones[16:24] == 1, q, 1 - q)))
+        q = mixer.probability(odds, p, gate)
+        third = slice(bits.prefix[2] * 8, bits.prefix[2] * 8 + 8)
+        total += float(np.prod(np.where(bits.ones == 1, q, 1 - q)[third]))
     assert total == pytest.approx(1, abs=1e-6)
+
+
+WORDS = [context_mixing.END, b"a", b"ab", b"abacus", b"abc", "\u00e9t\u00e9".encode(), b"x" * 500, b"y"]
+TIMES = np.array([9, 40, 1, 2, 3, 1, 2, 5])
+
+
+def plain_bits(word: bytes):
+    """(slots of the predictors, value) of each bit of a word and its closing space."""
+    closed = word if word == context_mixing.END else word + b" "
+    for n in range(1, len(closed) + 1):
+        bits = context_mixing.bits_of([closed[:n]])
+        place = bits.prefix[n - 1] * 8
+        yield from zip(bits.slots[:, place : place + 8].T.tolist(), bits.ones[place : place + 8].tolist(), strict=True)
+
+
+def plain_counts():
+    counts = Counter()
+    for word, times in zip(WORDS, TIMES.tolist(), strict=True):
+        for slots, one in plain_bits(word):
+            for k, slot in enumerate(slots):
+                counts[k, slot * 2 + one] += times
+    return counts
+
+
+def test_contexts_are_counted_by_occurrence():
+    table = pa.record_batch({"word": pa.array(WORDS, pa.binary()), "count": pa.array(TIMES)})
+    got = np.zeros((context_mixing.ORDERS, 2 << context_mixing.SLOT_BITS))
+    for batch in context_mixing.count_contexts(context_mixing.SLOT_BITS)(iter([table])):
+        for row in batch.to_pylist():
+            part = np.frombuffer(zlib.decompress(row["counts"]))
+            got[row["k"], row["piece"] * 2 * context_mixing.PIECE :][: len(part)] = part
+    expected = plain_counts()
+    assert {(k, s): got[k, s] for k, s in zip(*np.nonzero(got), strict=True)} == expected
+
+
+def test_bits_without_their_own_occurrence():
+    """Predictions by shared prefixes equal those of each word by itself, one occurrence taken away."""
+    counts = plain_counts()
+    tables = np.zeros((context_mixing.ORDERS, 2 << context_mixing.SLOT_BITS), np.float32)
+    for (k, slot), n in counts.items():
+        tables[k, slot] = n
+    mixer = context_mixing.Mixer()
+    bits = context_mixing.bits_of(WORDS, TIMES)
+    x, gate = context_mixing.inputs(bits, tables, np.ones(len(bits.ones), np.float32))
+    odds, p = mixer.mixed(x, gate)
+    q = mixer.probability(odds, p, gate)
+    got = bits.by_word(np.log(np.where(bits.ones == 1, q, 1 - q)), len(WORDS))
+    for word, log_p in zip(WORDS, got, strict=True):
+        total = 0.0
+        for slots, one in plain_bits(word):
+            stretch, level = [], 0
+            for k, slot in enumerate(slots):
+                pair = [counts[k, slot * 2], counts[k, slot * 2 + 1]]
+                pair[one] -= 1
+                stretch.append(math.log((pair[1] + 0.1) / (pair[0] + 0.1)))
+                if sum(pair):
+                    level = 4 * k + sum(sum(pair) >= n for n in (2, 8, 64))
+            z = max(-16, min(16, sum(stretch) / 3))
+            place = min(max(z * 2 + 16, 0), 32 - 0.001)
+            low = int(place)
+            share = [1 / (1 + math.exp(-(i - 16) / 2)) for i in (low, low + 1)]
+            near = share[0] * (low + 1 - place) + share[1] * (place - low)
+            probability = min(max((1 / (1 + math.exp(-z)) + near) / 2, 1e-7), 1 - 1e-7)
+            total += math.log(probability if one else 1 - probability)
+        assert log_p == pytest.approx(total, rel=1e-4, abs=1e-4)
+
+
+def test_fewer_places(documents):
+    """Contexts share places, and the scores stay those of a model."""
+    rows = context_mixing.score_texts(documents.limit(50), slot_bits=10).select("score", "bits_per_byte").collect()
+    assert len(rows) == 50 and all(-math.inf < r["score"] < 0 < r["bits_per_byte"] for r in rows)
