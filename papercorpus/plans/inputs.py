@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
-from ..sources.shared import spread
+from ..sources.shared import scratch_path, spread
 
 SITE = "https://example.org"
+PAGE = 1250
 
 
 TEXT_TABLES = ("documents", "conversations")
@@ -120,6 +121,19 @@ def works(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def landed_pages(spark: SparkSession, folder: str) -> str:
+    """Works as answers of a paged listing, one page a line, in a folder per year asked for."""
+    path = scratch_path(spark, "pages")
+    rows = works(spark, folder)
+    work = F.struct(*[c for c in rows.columns if c != "seq"])
+    pages = rows.groupBy(F.col("publication_year").alias("asked_year"), F.floor(F.col("seq") / PAGE).alias("page")).agg(
+        F.array_sort(F.collect_list(F.struct("seq", F.to_json(work).alias("work")))).alias("found"))
+    results = F.array_join(F.transform("found", lambda w: w["work"]), ",")
+    line = F.concat(F.lit('{"meta":{"count":'), F.size("found"), F.lit('},"results":['), results, F.lit("]}"))
+    pages.select("asked_year", line.alias("value")).write.partitionBy("asked_year").text(path)
+    return path
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Two runs of predictions per document: its first and its last words.
 

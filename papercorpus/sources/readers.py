@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 SPLITS = ("train", "val", "test")
 
@@ -45,6 +46,24 @@ def read_works(
     return works if seq is None else works.select("*", file_order().alias(seq))
 
 
+def read_work_pages(
+    spark: SparkSession, path: str, seq: str | None = "seq", mode: str = "FAILFAST"
+) -> DataFrame:
+    """Works of landed pages: one answer of a paged listing per line, its works in ``results``.
+
+    Folders named ``column=value`` give columns; a filter on them keeps the pages of other
+    folders unread, so land pages by the selection that asked for them. Works keep the order
+    of their pages and their place in them. A page without results gives no works.
+    """
+    schema = StructType().add("results", ArrayType(StructType.fromDDL(WORKS_SCHEMA)))
+    pages = spark.read.schema(schema).option("mode", mode).json(path)
+    folders = [c for c in pages.columns if c != "results"]
+    order = [] if seq is None else [file_order().alias("_page")]
+    works = pages.select(*folders, *order, F.posexplode("results").alias("_place", "_work"))
+    named = [] if seq is None else [F.struct("_page.*", F.col("_place").alias("item")).alias(seq)]
+    return works.filter("_work is not null").select("_work.*", *folders, *named)
+
+
 def _csv(spark: SparkSession, multi_line: bool):
     return spark.read.options(header=True, multiLine=multi_line, escape='"', enforceSchema=False)
 

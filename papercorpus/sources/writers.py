@@ -86,6 +86,19 @@ def write_by_split(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.partitionBy("split").format(fmt).save(path)
 
 
+def write_colocated(df: DataFrame, path: str, table: str, key: str = "id", buckets: int = 200) -> DataFrame:
+    """Catalog table in buckets of ``key``, one sorted file each, and that table.
+
+    Tables written with the same key type and number of buckets join on it without another shuffle,
+    as often as they are read: splits, predictions and vectors by id. For keys that are unique or
+    nearly so; a key held by many rows is one bucket. ``buckets`` should grow with the table, so
+    that one bucket fits a task.
+    """
+    dealt = df.repartition(buckets, key)
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_splits(df: DataFrame, run_folder: str, fmt: str = "parquet") -> None:
     """Splits, and the ids of each split where there is an id."""
     write_by_split(df, f"{run_folder}/splits", fmt)
