@@ -28,6 +28,7 @@ from ..sources.shared import stored
 NA_STRATUM = "__NA__"  # fixed value: stratum of rows without one
 PREFIX_DIGITS = 4
 AFTER_ALL = "~"  # sorts behind every hex digit
+NOT_UNIQUE = "the key is not unique: rows tie at a cut"
 
 
 class Cut(NamedTuple):
@@ -145,8 +146,12 @@ def _histogram(rows: DataFrame) -> DataFrame:
     return stored(counts, "histogram")
 
 
-def _cut_points(rows: DataFrame, histogram: DataFrame, quotas: DataFrame) -> DataFrame:
-    """(group, stratum, point): the cut point of every group and stratum."""
+def _cut_points(rows: DataFrame, histogram: DataFrame, quotas: DataFrame, ties: bool = False) -> DataFrame:
+    """(group, stratum, point): the cut point of every group and stratum.
+
+    Rows that tie at a cut are an error, or with ``ties`` counted: ``keep`` is the number of them
+    before the cut (null where only one row stands at the point).
+    """
     earlier = Window.partitionBy(*CELL).orderBy("prefix").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -165,18 +170,21 @@ def _cut_points(rows: DataFrame, histogram: DataFrame, quotas: DataFrame) -> Dat
         contested, [*CELL, "prefix"]
     )
     ranks = Window.partitionBy(*CELL).orderBy("order")
-    tied = F.raise_error(F.lit("the key is not unique: rows tie at a cut"))
-    last = (
-        inside.withColumns({"place": F.row_number().over(ranks), "next": F.lead("order").over(ranks)})
+    at_cut = (
+        inside.withColumns({"place": F.row_number().over(ranks), "rank": F.rank().over(ranks),
+                            "next": F.lead("order").over(ranks)})
         .filter("place = take")
-        .select(*CELL, F.when(F.col("next") == F.col("order"), tied).otherwise(F.col("order")).alias("last"))
     )
+    tied = F.col("next") == F.col("order")
+    order = F.col("order") if ties else F.when(tied, F.raise_error(F.lit(NOT_UNIQUE))).otherwise(F.col("order"))
+    keep = [F.when(tied, F.col("place") - F.col("rank") + 1).alias("keep")] if ties else []
+    last = at_cut.select(*CELL, order.alias("last"), *keep)
     point = (
         F.when(F.col("quota") == 0, F.lit(""))
         .when(F.col("quota") == F.col("size"), F.lit(AFTER_ALL))
         .otherwise(F.col("last"))
     )
-    return edges.join(last, CELL, "left").select(*CELL, point.alias("point"))
+    return edges.join(last, CELL, "left").select(*CELL, point.alias("point"), *(["keep"] if ties else []))
 
 
 def _sizes(histogram: DataFrame) -> DataFrame:
@@ -277,7 +285,8 @@ def sample_rows(
 
     The cut point of every group is found on narrow columns, for any ``n`` in the
     same way, and the rows are filtered where they are.  ``key`` must be unique, as
-    for ``split_rows``.
+    for ``split_rows``, but for rows that are equal in all columns: where such rows tie at
+    a cut it does not matter which are taken, and as many as are needed are.
     """
     order = seeded_order(seed, salt, key)
     if n <= 0:
@@ -286,8 +295,23 @@ def sample_rows(
     rows = df.select(group.alias("group"), stratum.alias("stratum"), order.alias("order"))
     histogram = _histogram(rows)
     quotas = _sizes(histogram).withColumn("quota", F.least("size", F.lit(n).cast("long")))
-    points = stored(_cut_points(rows, histogram, quotas), "points")
-    return label_cut(df, Cut(group, stratum, order, points), "_in").filter("_in").drop("_in")
+    points = stored(_cut_points(rows, histogram, quotas, ties=True), "points")
+    sample = label_cut(df, Cut(group, stratum, order, points), "_in").filter("_in").drop("_in")
+    tied = points.filter("keep is not null").select(F.col("group").alias("_group"), F.col("point").alias("_point"), "keep")
+    return sample if tied.isEmpty() else _with_ties_cut(sample, tied, group, order)
+
+
+def _with_ties_cut(sample: DataFrame, tied: DataFrame, group: Column, order: Column) -> DataFrame:
+    """``sample`` with ``keep`` of the rows at each point in ``tied``; these must be equal in all columns."""
+    at_point = (group == F.col("_group")) & (order == F.col("_point"))
+    row = F.struct(*sample.columns)
+    # one row a group, merged before the shuffle however many rows tie
+    ends = stored(sample.join(tied, at_point).groupBy("_group", "keep").agg(
+        F.first(row).alias("row"), F.min(F.to_json(row)).alias("low"), F.max(F.to_json(row)).alias("high")), "ties")
+    if not ends.filter("low <> high").isEmpty():
+        raise ValueError(NOT_UNIQUE)
+    copies = ends.select("row", F.explode(F.sequence(F.lit(1), F.col("keep"))).alias("_copy")).select("row.*")
+    return sample.join(tied, at_point, "left_anti").unionByName(copies)
 
 
 def evaluation_cap(df: DataFrame, max_rows: int, seed: int, key: Column) -> DataFrame:
