@@ -12,7 +12,8 @@ from ..streaming import arrivals, firsts, windows
 from . import inputs
 from .catalog import RUN, listed, query, rounded, six
 
-FILES = 4
+PARTS = 4
+ALL_FILES = 2**31 - 1
 MONTH = 30
 
 
@@ -60,18 +61,24 @@ def arrival_sessions(spark, folder):
 
 @query
 def arriving_first_works(spark, folder):
-    """Works that land in four files, one after the other: the first per id, normalised."""
-    root = scratch_path(spark, "landing")
+    """Works that land in four parts, one after the other: the first per id, normalised.
+
+    A part is as many files as it has tasks. It is read to its end before the next one lands, so
+    the files of a part are one micro-batch whatever their number and order.
+    """
+    root, state, out = (scratch_path(spark, label) for label in ("landing", "papers-state", "papers"))
     landed = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 3600).alias("landed_at")
     works = stored(inputs.works(spark, folder).select("*", landed), "works")
     last = works.agg(F.max("seq")).first()[0]
-    for k in range(FILES):  # files in order of arrival
-        part = works.filter(F.floor(F.col("seq") * FILES / (last + 1)) == k)
-        writers.write_jsonl(part.repartition(1), f"{root}/arrived-{k}")
-    stream = arrivals.stream_works(spark, f"{root}/*", files_per_trigger=1, extra="seq bigint, landed_at timestamp")
-    first = firsts.first_arrivals(stream, "id", "landed_at", "2 days", ["seq"])
-    papers = arrivals.stream_papers(first, keep_empty=True, carry=["seq"])
-    return streamed(papers, "papers").select("seq", "id", "title", "abstract", listed("topics").alias("topics"), "primary_topic")
+    for k in range(PARTS):  # parts in order of arrival
+        part = works.filter(F.floor(F.col("seq") * PARTS / (last + 1)) == k)
+        writers.write_jsonl(part, f"{root}/arrived-{k}")
+        stream = arrivals.stream_works(spark, f"{root}/*", files_per_trigger=ALL_FILES, extra="seq bigint, landed_at timestamp")
+        first = firsts.first_arrivals(stream, "id", "landed_at", "2 days", ["seq"])
+        papers = arrivals.stream_papers(first, keep_empty=True, carry=["seq"])
+        arrivals.run_available(papers, out, state).awaitTermination()
+    read = spark.read.schema(papers.schema).parquet(out)
+    return read.select("seq", "id", "title", "abstract", listed("topics").alias("topics"), "primary_topic")
 
 
 @query
