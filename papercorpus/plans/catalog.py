@@ -115,7 +115,7 @@ def papers_read_csv(spark, folder):
 def papers_read_csv_in_order(spark, folder):
     """The first paper per title in file order, files being written in id order."""
     path = scratch_path(spark, "papers-csv")
-    ordered = inputs.papers(spark, folder).repartitionByRange(4, "seq").sortWithinPartitions("seq")
+    ordered = inputs.papers(spark, folder).repartitionByRange("seq").sortWithinPartitions("seq")
     writers.write_csv(ordered, path)
     return cleaning.keep_first(readers.read_papers_csv(spark, path), ["title"]).select("id", "title")
 
