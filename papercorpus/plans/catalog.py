@@ -61,8 +61,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def landed_works(spark: SparkSession, folder: str) -> str:
     """Derived works written as JSON lines in document order; returns their folder."""
     path = scratch_path(spark, "works")
-    works = inputs.works(spark, folder)
-    writers.write_jsonl(works.repartitionByRange("seq").sortWithinPartitions("seq"), path)
+    writers.write_jsonl(inputs.works(spark, folder, in_order=True), path)
     return path
 
 

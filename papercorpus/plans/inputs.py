@@ -17,6 +17,7 @@ from ..sources.shared import scratch_path, spread
 
 SITE = "https://example.org"
 PAGE = 1250
+PER_CORE = 4  # tasks a core: with fewer, the last ones leave most cores idle
 
 
 TEXT_TABLES = ("documents", "conversations")
@@ -25,7 +26,7 @@ TEXT_TABLES = ("documents", "conversations")
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table; the ones with long texts are dealt out to all cores."""
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(rows) if name in TEXT_TABLES else rows
+    return spread(rows, PER_CORE) if name in TEXT_TABLES else rows
 
 
 def first_line(text: str = "text") -> Column:
@@ -90,9 +91,18 @@ def word_index(text: Column) -> Column:
     return F.transform(F.array(places), lambda e: F.transform(F.array(begins(e)), lambda heads: entries(e, heads))[0])[0]
 
 
-def works(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as raw nested works; three in a row share an id."""
-    documents = table(spark, folder, "documents")
+def works(spark: SparkSession, folder: str, in_order: bool = False) -> DataFrame:
+    """Documents as raw nested works; three in a row share an id.
+
+    ``in_order``: dealt into ranges of ``seq`` and sorted. The plain texts are dealt, not the works:
+    drawing the bounds of the ranges reads every row, and would make each index once more.
+    """
+    if in_order:
+        read = spark.read.parquet(f"{folder}/documents.parquet")
+        ranges = max(read.rdd.getNumPartitions(), PER_CORE * spark.sparkContext.defaultParallelism)
+        documents = read.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
+    else:
+        documents = table(spark, folder, "documents")
     link = F.concat(
         F.lit(f"{SITE}/works/W"),
         F.floor(F.col("doc_id") / 3).cast("string"),

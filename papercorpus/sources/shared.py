@@ -64,11 +64,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Deal a small table out to all cores; tables with enough pieces stay as they are.
+def spread(table: DataFrame, per_core: int = 1) -> DataFrame:
+    """Deal a table out to ``per_core`` tasks for each core; tables with as many pieces stay as they are.
 
-    A single file with a single row group is one task however much work follows.
+    A single file with a single row group is one task however much work follows, and a few
+    more pieces than cores leave most cores idle for the last ones.
     For tables as they are read: counting the pieces of a scan runs no job.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    tasks = per_core * table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(tasks) if table.rdd.getNumPartitions() < tasks else table
