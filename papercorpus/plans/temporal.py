@@ -108,9 +108,8 @@ def selections(spark: SparkSession, folder: str) -> DataFrame:
 def collections_in_one_pass(spark, folder):
     """Works of each of many selections by date, topic and concept."""
     works = inputs.works(spark, folder).select("seq", "id", "publication_date", "topics", "concepts")
-    taken = time_joins.select_collections(works, stored(selections(spark, folder), "selections"), MONTH)
-    return taken.groupBy("collection").agg(F.count("*").alias("works"), F.min("seq").alias("first"), F.max("seq").alias("last"),
-                                           F.sum("seq").alias("seq_sum"))
+    measures = {"works": ("count", "*"), "first": ("min", "seq"), "last": ("max", "seq"), "seq_sum": ("sum", "seq")}
+    return time_joins.select_collections(works, stored(selections(spark, folder), "selections"), MONTH, measures)
 
 
 @query
