@@ -5,9 +5,10 @@ function, so a query in SQL text is planned with the same built-ins as the DataF
 Python worker runs, and filters and column pruning pass through it.
 
 Table functions yield the n-grams of an array of words and the words of an inverted index, one
-row each, for lateral joins. They run in Python, by Arrow batches; Spark takes columns, but no
-SQL function's call, as their arguments, so call that in a subquery. The columns of ``gram_rows``
-follow from its second argument when the query is planned.
+row each, for lateral joins. ``index_rows`` is SQL. ``gram_rows`` runs in Python, a hundred rows at a
+time: an Arrow batch is ten thousand, which as lists of words take gigabytes in every worker. Spark
+takes columns, but no SQL function's call, as their arguments, so call that in a subquery. The columns of
+``gram_rows`` follow from its second argument when the query is planned.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
-from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..sources.shared import ship_package
@@ -111,23 +112,14 @@ class GramRows:
             yield i, " ".join(gram), *gram
 
 
-class IndexRows:
-    """(position, word) of a word -> positions map, by position; the later map entry wins a position."""
-
-    @staticmethod
-    def analyze(index: AnalyzeArgument) -> AnalyzeResult:
-        if not isinstance(index.dataType, MapType):
-            raise ValueError("the argument must be a map from words to positions")
-        return AnalyzeResult(schema=StructType().add("position", IntegerType()).add("word", StringType()))
-
-    def eval(self, index: dict[str, list[int]] | None) -> Iterator[tuple]:
-        placed = {p: word for word, places in (index or {}).items() for p in places or () if p is not None}
-        for position in sorted(placed):
-            if placed[position]:
-                yield position, placed[position]
+# (position, word) of a word -> positions map, one row a position; the later map entry wins a position.
+INDEX_ROWS = """index_rows(index map<string, array<int>>) returns table(position int, word string) return
+    select entry.position, entry.word from (select explode(transform(array(sort_array(flatten(transform(filter(map_entries(index),
+      e -> e.value is not null), (e, r) -> transform(filter(e.value, p -> p is not null), p -> named_struct('position', p, 'rank', r, 'word', e.key)))))),
+      places -> filter(places, (p, i) -> p.word <> '' and coalesce(get(places, i + 1).position <> p.position, true)))[0]) as entry)"""
 
 
-TABLE_FUNCTIONS = {"gram_rows": GramRows, "index_rows": IndexRows}
+TABLE_FUNCTIONS = {"gram_rows": GramRows}
 
 
 def register(spark: SparkSession) -> list[str]:
@@ -136,5 +128,6 @@ def register(spark: SparkSession) -> list[str]:
     for signature, kind, body in FUNCTIONS:
         spark.sql(f"create or replace temporary function {signature} returns {kind} return {body}")
     for name, handler in TABLE_FUNCTIONS.items():
-        spark.udtf.register(name, udtf(handler, useArrow=True))
-    return [signature.partition("(")[0] for signature, _, _ in FUNCTIONS] + list(TABLE_FUNCTIONS)
+        spark.udtf.register(name, udtf(handler, useArrow=False))
+    spark.sql(f"create or replace temporary function {INDEX_ROWS}")
+    return [signature.partition("(")[0] for signature, _, _ in FUNCTIONS] + [*TABLE_FUNCTIONS, "index_rows"]
