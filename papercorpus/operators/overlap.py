@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import clipped_overlap, longer_ngrams, ngrams
-from ..functions.stemming import lcs_length, stem_text
+from ..functions.stemming import lcs_length, stems_and_lcs
 from ..functions.text import bleu_text, rouge_text, split_words
 from ..functions.vectors import greedy_match
 
@@ -34,14 +34,14 @@ def rouge_rows(rows: DataFrame, stem: bool = True) -> DataFrame:
     only the normalised words, for the stems and the common subsequence.
     """
     texts = {"_p": rouge_text(F.col("prediction")), "_r": rouge_text(F.col("reference"))}
-    if stem:
-        texts = {name: stem_text(text) for name, text in texts.items()}
-    tokens = rows.withColumns(texts).withColumns(
-        {
-            "_lcs": lcs_length(F.col("_p"), F.col("_r")),
-            "_p1": split_words(F.col("_p")),
-            "_r1": split_words(F.col("_r")),
-        }
+    if stem:  # one Python pass: a second one would be a second worker for each task
+        pairs = rows.withColumn("_s", stems_and_lcs(texts["_p"], texts["_r"]))
+        known = {"_p": F.col("_s.left"), "_r": F.col("_s.right"), "_lcs": F.col("_s.lcs")}
+    else:
+        pairs = rows.withColumns(texts)
+        known = {"_lcs": lcs_length(F.col("_p"), F.col("_r"))}
+    tokens = pairs.withColumns(known).withColumns(
+        {"_p1": split_words(F.col("_p")), "_r1": split_words(F.col("_r"))}
     ).withColumns({"_p2": ngrams(F.col("_p1"), 2), "_r2": ngrams(F.col("_r1"), 2)})
 
     def scored(shared: Column, n: int) -> Column:
@@ -53,7 +53,7 @@ def rouge_rows(rows: DataFrame, stem: bool = True) -> DataFrame:
             "rouge2": scored(clipped_overlap(F.col("_p2"), F.col("_r2")), 2),
             "rougeL": scored(F.col("_lcs"), 1),
         }
-    ).drop("_p", "_r", "_lcs", "_p1", "_r1", "_p2", "_r2")
+    ).drop("_s", "_p", "_r", "_lcs", "_p1", "_r1", "_p2", "_r2")
 
 
 def bleu_counts(rows: DataFrame) -> DataFrame:
