@@ -182,8 +182,9 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, edit_words: int = EDIT_WOR
 
     per_text = scratch.store(wanted.groupBy(F.col("place.text_key").alias("text_key")).agg(
         F.collect_list(F.struct("one", "two", F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line"))).alias("wanted")), "per-text")
-    # equal texts are one: a text that a third of all rows repeat is fetched once
-    texts = _keyed(docs, F.col("text")).join(per_text.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(
+    # equal texts are one: a text that a third of all rows repeat is fetched once; the texts are met by
+    # hash, not sorted, and in the same way at any size
+    texts = _keyed(docs, F.col("text")).join(per_text.select("text_key").hint("shuffle_hash"), "text_key", "left_semi").groupBy("text_key").agg(
         F.min("text").alias("text"))
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     picked = F.flatten(F.transform(F.array(F.split(lower, "\n")), lambda parts: F.transform("wanted", lambda w: F.struct(
@@ -231,7 +232,7 @@ def dedup_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     per_text = repeated_lines(docs, scratch, edit_words).groupBy(
         F.coalesce("doc_id", F.lit(NO_ID)).alias(of), F.col("text_key").alias(key)).agg(F.collect_set(F.struct("line", "one")).alias(gone))
     own = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)) == per_text[of]) & (F.xxhash64(docs["text"].cast("binary")) == per_text[key])
-    joined = docs.join(per_text, own, "left")
+    joined = docs.join(per_text.hint("shuffle_hash"), own, "left")
     built = joined.withColumn(new, _rebuilt()(F.col("text").cast("binary"), F.col(gone)))
     return built.withColumns({"text": F.col(new)["text"], "n_lines": F.col(new)["n_lines"],
                               "n_removed": F.col(new)["n_removed"]}).drop(of, key, gone, new)
