@@ -15,6 +15,7 @@ from ..functions.prompts import mode_label, seq2seq_prompt, title_prompt
 from ..functions.stemming import stem_text
 from ..operators import cleaning, collection, overlap, quality, reporting, sampling, scoring
 from ..operators.canonical import canonical_columns, canonicalise
+from ..operators.ngrams import count_ngrams
 from ..sources import readers, writers
 from ..sources.shared import scratch_path, ship_package, stored
 from . import inputs
@@ -466,10 +467,7 @@ def text_words(spark, folder):
 
 @query
 def text_ngrams(spark, folder):
-    tokens = documents(spark, folder).select("doc_id", text.words(F.col("text")).alias("tokens"))
-    t = F.col("tokens")
-    grams = F.concat(*[arrays.tagged_ngrams(t, n) for n in (1, 2, 3, 4)])
-    return tokens.select(F.inline(grams)).groupBy("n", "gram").agg(F.count("*").alias("seen"))
+    return count_ngrams(spark.read.parquet(f"{folder}/documents.parquet"), "text")
 
 
 @query
